@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, tiff
+from . import byte_bpe, packing, quality_rules, tiff
 from .common import table
 
 QUERIES = {
+    "op6_quality_rules": lambda spark, d: quality_rules.measured(table(spark, d, "documents")),
     "op7_hilbert_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_byte_bpe": lambda spark, d: byte_bpe.round_trip(table(spark, d, "documents")),
     "op9_tiff_media": lambda spark, d: tiff.round_trip(table(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_rules.ORACLE,
+}
