@@ -91,7 +91,8 @@ class Rule:
 
 def text_rules(text: Column) -> list[Rule]:
     """The rules, from the text alone."""
-    ws, safe = words(text), F.coalesce(text, F.lit(""))
+    safe = F.coalesce(text.cast("string"), F.lit(""))
+    ws = words(safe)
     return rules(
         safe,
         n_words=F.size(ws),
