@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, quality_rules, tiff
+from . import byte_bpe, license_scan, packing, quality_rules, tiff
 from .common import table
 
 QUERIES = {
+    "op5_license_scan": lambda spark, d: license_scan.scan(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality_rules.measured(table(spark, d, "documents")),
     "op7_hilbert_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_byte_bpe": lambda spark, d: byte_bpe.round_trip(table(spark, d, "documents")),
