@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +36,21 @@ def local(cpus: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return session(f"local[{n}]", spark_sql_shuffle_partitions=str(n), spark_driver_memory="8g")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: they need not run where it can be imported."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="webskein-"))
+    with zipfile.ZipFile(folder / "webskein.zip", "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(folder / "webskein.zip"))
+    atexit.register(shutil.rmtree, folder, True)
+    _shipped.add(app)
