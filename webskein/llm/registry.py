@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import byte_bpe, license_scan, packing, quality_classifier, quality_rules, tiff
+from . import byte_bpe, jaccard_join, license_scan, packing, quality_classifier, quality_rules, tiff
 from .common import table
 
 _QUERIES = {
     "op1_quality_classifier": lambda spark, d: quality_classifier.classify(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op4_jaccard_join": lambda spark, d: jaccard_join.near_duplicates(table(spark, d, "documents")),
     "op5_license_scan": lambda spark, d: license_scan.scan(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality_rules.measured(table(spark, d, "documents")),
     "op7_hilbert_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
