@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import byte_bpe, jaccard_join, license_scan, packing, quality_classifier, quality_rules, tiff
+from . import byte_bpe, chat_format, jaccard_join, license_scan, packing, quality_classifier, quality_rules, tiff
 from .common import table
 
 _QUERIES = {
@@ -14,6 +14,7 @@ _QUERIES = {
     "op7_hilbert_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_byte_bpe": lambda spark, d: byte_bpe.round_trip(table(spark, d, "documents")),
     "op9_tiff_media": lambda spark, d: tiff.round_trip(table(spark, d, "documents")),
+    "op10_chat_format": lambda spark, d: chat_format.formatted(table(spark, d, "conversations")),
 }
 
 
@@ -28,4 +29,5 @@ def _shipping(query):
 QUERIES = {name: _shipping(query) for name, query in _QUERIES.items()}
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
 }
