@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised passes hold at once (a longer document is cut between words).
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
