@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import byte_bpe, chat_format, jaccard_join, license_scan, packing, quality_classifier, quality_rules, tiff, warc
+from . import byte_bpe, chat_format, html_blocks, jaccard_join, license_scan, packing, quality_classifier, quality_rules, tiff, warc
 from .common import table
 
 _QUERIES = {
     "op1_quality_classifier": lambda spark, d: quality_classifier.classify(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_warc": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
+    "op3_html_blocks": lambda spark, d: html_blocks.extract(table(spark, d, "pages")),
     "op4_jaccard_join": lambda spark, d: jaccard_join.near_duplicates(table(spark, d, "documents")),
     "op5_license_scan": lambda spark, d: license_scan.scan(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality_rules.measured(table(spark, d, "documents")),
