@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,6 +38,28 @@ def local(cpus: int | None = None) -> SparkSession:
     return session(f"local[{n}]", spark_sql_shuffle_partitions=str(n), spark_driver_memory="8g")
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="webskein-")
+        atexit.register(shutil.rmtree, _own[app], True)
+        spark.sparkContext.setCheckpointDir(_own[app])
+    return _own[app]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the shared folder: its lineage is cut and it survives lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 _shipped: set[str] = set()
 
 
