@@ -44,7 +44,7 @@ def charset(html: Column) -> Column:
 
 
 def keywords(content: Column) -> Column:
-    return F.filter(F.transform(F.split(content, ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(content, ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def clean_text(html: Column) -> Column:
@@ -83,7 +83,7 @@ def blocked_reason_rendered(html: Column, status: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'>\s]+)"""), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'>\s]+)"""), F.lit(1)), lambda h: F.trim(h))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
