@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Words that don't count for a summary.
 STOPWORDS = (
     "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would should could "
@@ -44,7 +46,7 @@ def sentences(text: Column) -> Column:
 
 def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, idx, sentence and score: the mean count, in the whole text, of the sentence's words; the first three count 1.2 times."""
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    base = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     freq = base.select("key", F.explode(words(F.col("text"))).alias("word")).filter(~F.col("word").isin(*STOPWORDS)).groupBy("key", "word").agg(F.count("*").alias("n"))
     sents = base.select("key", F.posexplode(sentences(F.col("text"))).alias("idx", "sentence"))
     tokens = sents.select("key", "idx", "sentence", F.explode_outer(words(F.col("sentence"))).alias("word"))

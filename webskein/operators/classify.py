@@ -19,10 +19,9 @@ SIGNALS = {
 TYPES = tuple(SIGNALS)
 
 
-def tenths(kind: str, html: Column, url: Column, og_type: Column | None = None, schemas: Column | None = None) -> Column:
-    """The score of one type, times ten."""
+def tenths(kind: str, low: Column, low_url: Column, og_type: Column | None = None, schemas: Column | None = None) -> Column:
+    """The score of one type, times ten; html and URL in lower case."""
     tags, classes, og_types, names = (x.split() for x in SIGNALS[kind])
-    low, low_url = F.lower(html), F.lower(url)
     has = lambda c, text: F.contains(c, F.lit(text))
     parts = [F.when(low.rlike(rf"<{tag}[\s/>]"), 10).otherwise(0) for tag in tags]
     for name in classes:
@@ -43,8 +42,10 @@ def tenths(kind: str, html: Column, url: Column, og_type: Column | None = None,
 def classification(html: Column, url: Column, og_type: Column | None = None, schemas: Column | None = None) -> Column:
     """type, confidence, scores (by type) and up to two secondary types over 0.5, of a page; ties go by the types' order."""
     html, url = F.coalesce(html, F.lit("")), F.coalesce(url, F.lit(""))
-    scores = F.array(*(F.struct((-tenths(k, html, url, og_type, schemas)).alias("low"), F.lit(i).alias("place"), F.lit(k).alias("type")) for i, k in enumerate(TYPES)))
-    ordered = F.array_sort(scores)
+    # in lower case once, not for each signal
+    lowered = F.array(F.struct(F.lower(html).alias("html"), F.lower(url).alias("url")))
+    scores = lambda x: F.array(*(F.struct((-tenths(k, x["html"], x["url"], og_type, schemas)).alias("low"), F.lit(i).alias("place"), F.lit(k).alias("type")) for i, k in enumerate(TYPES)))
+    ordered = F.array_sort(F.transform(lowered, scores)[0])
 
     def of(s: Column) -> Column:
         top = -s[0]["low"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 #: Similarity of 0.85 of 64 bits.
 DISTANCE = 9
@@ -34,7 +34,7 @@ def near_pairs(prints: DataFrame, most: int = DISTANCE) -> DataFrame:
     """fp_a, fp_b, distance of the distinct fingerprints (column fp) within `most` bits, fp_a < fp_b; exact for most <= 9."""
     if most > 9:
         raise ValueError("five bands find all pairs within nine bits only")
-    distinct = prints.select("fp").distinct()
+    distinct = checkpointed(prints.select("fp").distinct())
     left = distinct.select(F.col("fp").alias("fp_a"), F.explode(_bands(F.col("fp"), False)).alias("k"))
     right = distinct.select(F.col("fp").alias("fp_b"), F.explode(_bands(F.col("fp"), True)).alias("k"))
     distance = hashing.hamming(F.col("fp_a"), F.col("fp_b"))
@@ -60,7 +60,7 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", content: str = "text", most: int = DISTANCE) -> DataFrame:
     """id, is_duplicate, similarity, matching_id and method of every document; ids give the order of arrival."""
-    base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(content), F.lit("")).alias("text"))
+    base = spread(docs.select(F.col(key).alias("id"), F.coalesce(F.col(content), F.lit("")).alias("text")))
     long = F.length(text.strip(F.col("text"))) >= SHORT
     given = checkpointed(base.filter(long).select("id", hashing.content_hash(F.col("text")).alias("hash"), hashing.simhash("text").alias("fp")))
     nodes = checkpointed(given.groupBy("fp").agg(F.min("id").alias("seq")))

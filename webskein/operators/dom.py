@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import markup, urls
+from ..session import spread
 
 # Elements and selectors that aren't content, and video platforms.
 REMOVED = ("script", "style", "noscript", "iframe", "embed", "object", "applet", "canvas", "svg")
@@ -435,7 +436,7 @@ def extracted(pages: DataFrame, *, fields: tuple[str, ...] | None = None, strict
             as_map = lambda n, v: list(v.items()) if _FIELDS[n] is _MAP else v
             yield pa.RecordBatch.from_arrays([*map(b.column, kept), *(pa.array([as_map(n, r[n]) for r in rows], _FIELDS[n]) for n in names)], [*kept, *names])
 
-    return pages.select("url", "html").mapInArrow(run, schema)
+    return spread(pages.select("url", "html")).mapInArrow(run, schema)
 
 
 def register(spark) -> None:

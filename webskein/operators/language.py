@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..session import spread
 
 LEAST_CHARS = 20
 #: N-grams that a language's profile keeps.
@@ -21,7 +22,7 @@ def grams(text: Column, width: int = 3) -> Column:
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, gram, p: the most frequent n-grams of each language with their smoothed share; at most PROFILE rows a language."""
-    counted = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counted = spread(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= PROFILE)
     return top.join(total, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("p"))
@@ -29,7 +30,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
 def detected(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, language, confidence, alternatives and source; texts of fewer than LEAST_CHARS characters are unknown."""
-    base = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = spread(docs).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     long = F.length(F.trim("text")) >= LEAST_CHARS
     found = base.filter(long).select("key", F.explode(grams(F.col("text"))).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
     # a profile is PROFILE rows a language, so the table may be broadcast

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import hashing, markup, text, urls
 from .operators import classify, dedup, dom, entities, frontier, language, politeness, search
 from .plans import pipeline
+from .session import spread
 from .sources import stores
 
 QUERIES: dict = {}
@@ -171,7 +172,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tenths DESC, pl
 @query("page_classification", f"{_class_sql()} SELECT * FROM c")
 def page_classification(spark, d):
     c = classify.classification(F.col("html"), F.col("url"))
-    return _t(spark, d, "pages").select("page_id", c.alias("c")).select("page_id", "c.type", "c.confidence")
+    return spread(_t(spark, d, "pages")).select("page_id", c.alias("c")).select("page_id", "c.type", "c.confidence")
 
 
 @query("classification_counts", f"{_class_sql()} SELECT type, count(*) AS pages FROM c GROUP BY type")
@@ -324,12 +325,12 @@ fp AS (SELECT doc_id, (CASE WHEN u >= {1 << 63}::HUGEINT THEN u - {1 << 64}::HUG
 
 @query("simhash_fingerprints", f"WITH {_PRINTS} SELECT doc_id, fp AS simhash FROM fp")
 def simhash_fingerprints(spark, d):
-    return _t(spark, d, "documents").select("doc_id", hashing.simhash("text").alias("simhash"))
+    return spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", hashing.simhash("text").alias("simhash"))
 
 
 @query("near_dup_pairs", f"WITH {_PRINTS}, u AS (SELECT DISTINCT fp FROM fp) SELECT a.fp AS fp_a, b.fp AS fp_b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM u a JOIN u b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 9")
 def near_dup_pairs(spark, d):
-    return dedup.near_pairs(_t(spark, d, "documents").select(hashing.simhash("text").alias("fp")))
+    return dedup.near_pairs(spread(_t(spark, d, "documents").select("text")).select(hashing.simhash("text").alias("fp")))
 
 
 _LEADERS = f"""WITH RECURSIVE {_PRINTS},

@@ -60,6 +60,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is costly a row: dealt out anew only if it has fewer partitions than there are cores (a small file is one)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _shipped: set[str] = set()
 
 
