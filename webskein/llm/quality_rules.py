@@ -89,10 +89,10 @@ class Rule:
     rejects: Column
 
 
-def text_rules(text: Column) -> list[Rule]:
-    """The rules, from the text alone."""
+def text_rules(text: Column, ws: Column | None = None) -> list[Rule]:
+    """The rules, from the text alone (and its words, where they are at hand)."""
     safe = F.coalesce(text.cast("string"), F.lit(""))
-    ws = words(safe)
+    ws = words(safe) if ws is None else ws
     return rules(
         safe,
         n_words=F.size(ws),
@@ -138,8 +138,15 @@ def verdict(given: list[Rule]) -> Column:
 
 def cascade(docs: DataFrame, *, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows with `kept`: true where no rule rejects."""
-    given = ordered(docs, text_rules(F.col(text)), sample_rows)
-    return docs.withColumn("kept", verdict(given).isNull())
+    order = [r.name for r in ordered(docs, text_rules(F.col(text)), sample_rows)]
+
+    def first_rejection(ws: Column) -> Column:
+        by_name = {r.name: r for r in text_rules(F.col(text), ws)}
+        return verdict([by_name[n] for n in order])
+
+    # the text is cut into words once, whichever rules need them
+    cut = words(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.withColumn("kept", bind(cut, first_rejection).isNull())
 
 
 def measured(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
