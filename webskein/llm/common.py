@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,28 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpointed, shared_folder  # noqa: F401
+
 #: Bytes of text that the vectorised passes hold at once (a longer document is cut between words).
 CHUNK = 1 << 20
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="webskein-")
-        atexit.register(shutil.rmtree, _own[app], True)
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver ends, or before by delete()."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -63,11 +48,6 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

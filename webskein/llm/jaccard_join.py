@@ -49,6 +49,8 @@ SMALL = 32
 FLUSH = 8 << 20
 #: Rows of wanted texts up to which they are broadcast to the scan of the documents, and of members that meet one pivot in a task.
 BROADCAST_ROWS, MEMBERS = 1_000_000, 2000
+#: Parts that the copies of one set are dealt to when they get their component.
+SALTS = 8
 #: Nodes of one family that lie in one block.
 BLOCK_NODES = 256
 
@@ -494,8 +496,15 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     known = members.filter("doc_id is not null and node is not null")
     repeated = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("doc_id", "a")
     same = known.join(repeated, "doc_id").select("a", F.col("node").alias("b")).filter("a != b").distinct()
-    roots = checkpointed(components(edges.unionByName(same)))
-    placed = members.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = placed.filter("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
+    per = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    # components of the nodes' smallest doc_ids, so that a root is the component's id and nothing is joined by it
+    ids = edges.unionByName(same)
+    for side in ("a", "b"):
+        ids = ids.join(per.select(F.col("node").alias(side), F.col("least").alias(f"{side}_id")), side)
+    roots = components(ids.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).withColumnRenamed("node", "least")
+    shared = per.join(roots, "least", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "least").alias("component"))
+    # a node with very many copies is dealt out by salt
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    placed_ = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("bigint"))).join(salted, ["node", "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+    return placed_.select("doc_id", F.col("n").alias("n_shingles"), component)
