@@ -153,22 +153,20 @@ def measured(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id with the base counts, base_failed, and the cascade's verdict."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    counted = base.select(
-        "doc_id",
-        "text",
-        bind(
-            words(F.col("text")),
-            lambda ws: F.struct(F.size(ws).cast("bigint").alias("n_words"), F.length(F.array_join(ws, "")).cast("bigint").alias("word_chars"), n_repeat_words(ws).alias("n_repeat_words")),
-        ).alias("w"),
-        n_symbols(F.col("text")).alias("n_symbols"),
-        n_dup_lines(F.col("text")).alias("n_dup_lines"),
-    ).select("doc_id", "text", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
     order = [r.name for r in ordered(docs, text_rules(F.col("text")), sample_rows)]
-    by_name = {r.name: r for r in rules(F.col("text"), n_words=F.col("n_words"), word_chars=F.col("word_chars"), symbols=F.col("n_symbols"), dup_lines=F.col("n_dup_lines"), repeat_words=F.col("n_repeat_words"))}
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict([by_name[n] for n in order]).isNull().alias("kept")
-    )
+
+    def counts(ws: Column) -> Column:
+        given = {"n_words": F.size(ws), "word_chars": F.length(F.array_join(ws, "")), "n_symbols": n_symbols(F.col("text")), "n_dup_lines": n_dup_lines(F.col("text")), "n_repeat_words": n_repeat_words(ws)}
+        return F.struct(*(c.cast("bigint").alias(n) for n, c in given.items()))
+
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        by_name = {r.name: r for r in rules(F.col("text"), n_words=c["n_words"], word_chars=c["word_chars"], symbols=c["n_symbols"], dup_lines=c["n_dup_lines"], repeat_words=c["n_repeat_words"])}
+        return F.struct(c.alias("counts"), failed.alias("base_failed"), verdict([by_name[n] for n in order]).isNull().alias("kept"))
+
+    # everything is one expression, so a filter on a result doesn't count each part again
+    seen = base.select("doc_id", bind(bind(words(F.col("text")), counts), judged).alias("seen"))
+    return seen.select("doc_id", "seen.counts.*", "seen.base_failed", "seen.kept")
 
 
 ORACLE = r"""
