@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters that are given to the library in one call.
 CALL = 1 << 19
@@ -95,20 +96,6 @@ def vocabulary(path: str = VOCABULARY) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 * CALL) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of rows with at most about `most` bytes of text in column 'text'."""
-    for b in batches:
-        first = size = 0
-        sizes = pc.binary_length(b.column("text")).to_pylist()
-        for i, n in enumerate(sizes):
-            if i > first and size + (n or 0) > most:
-                yield b.slice(first, i - first)
-                first, size = i, 0
-            size += n or 0
-        if first < b.num_rows:
-            yield b.slice(first)
-
-
 def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY, offsets: bool = False) -> DataFrame:
     """The kept columns and ids array<int>; with offsets also starts and ends (array<int>, in characters)."""
     from pyspark.sql import functions as F
@@ -120,7 +107,7 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for b in _parts(batches):
+        for b in slices(batches):
             found = bpe.encode([t or "" for t in b.column("text").to_pylist()], offsets)
             columns = [b.column(n) for n in names] + [pa.array([i for i, _ in found], pa.list_(pa.int32()))]
             if offsets:
@@ -158,7 +145,7 @@ def round_trip(docs: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for b in _parts(batches):
+        for b in slices(batches):
             rows = []
             given = [t or "" for t in b.column("text").to_pylist()]
             distinct = list(dict.fromkeys(given))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpointed, shared_folder  # noqa: F401
@@ -52,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_table(word: "re.Pattern[bytes] | None" = None, ranges: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
+def byte_table(ranges: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
     """A table of the 256 bytes: True where the byte is in none of the ranges."""
     t = np.ones(256, dtype=bool)
     for low, high in ranges:
@@ -74,6 +75,20 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows with at most about `most` bytes of text in their column 'text', or of one row."""
+    for b in batches:
+        first = size = 0
+        sizes = pc.binary_length(b.column("text")).to_pylist()
+        for i, n in enumerate(sizes):
+            if i > first and size + (n or 0) > most:
+                yield b.slice(first, i - first)
+                first, size = i, 0
+            size += n or 0
+        if first < b.num_rows:
+            yield b.slice(first)
+
+
 def grouped(docs: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most `most` bytes together, or of one document."""
     first = size = 0

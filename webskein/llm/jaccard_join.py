@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import _parts
-from .common import SPACED, checkpointed, delete, document_words, grouped, mix, texts, written
+from .common import SPACED, checkpointed, delete, document_words, grouped, mix, slices, texts, written
 
 WORDS = 4
 PERCENT = 85
@@ -155,7 +154,7 @@ def nodes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (the set's size) and node (its digest; null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches):
             found = [(len(s), digest(s) if len(s) else None) for s in shingle_sets(texts(b.column("text")), words)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.int64())], ["doc_id", "n", "node"])
 
@@ -167,7 +166,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[li
     seen: set[int] = set()
     out: list[tuple[int, np.ndarray]] = []
     size = 0
-    for b in _parts(batches):
+    for b in slices(batches):
         docs = texts(b.column("text"))
         for d, s in zip(docs, shingle_sets(docs, words), strict=True):
             if len(s) and (node := digest(s)) not in seen:
@@ -287,7 +286,7 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own, own_size = None, None, 0
-        for b in _parts(batches):
+        for b in slices(batches):
             given = texts(b.column("text"))
             leads_, roles, nodes_ = (b.column(c).to_pylist() for c in ("lead", "role", "node"))
             found: list[tuple[int, int]] = []

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import VOCABULARY, ByteBpe, _parts, byte_characters
-from .common import SPACED, document_words, grouped, texts
+from .byte_bpe import VOCABULARY, ByteBpe, byte_characters
+from .common import SPACED, document_words, grouped, slices, texts
 
 LENGTH = 2048
 CLOSING = 1
@@ -109,7 +109,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and curve_key of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches):
             keys = curve_keys(texts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64())], ["doc_id", "text", "curve_key"])
 
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, path: str = VOCABULARY) -> Da
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for b in _parts(batches):
+        for b in slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), CLOSING], dtype="<u4")
                 at = 0

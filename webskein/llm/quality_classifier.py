@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import _parts
+from .common import slices
 
 DICTIONARY_ROWS = 3000
 CALIBRATION_ROWS = 4000
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         sizes = Sizes(m.good, m.bad) if m else None
-        for b in _parts(batches):
+        for b in slices(batches):
             given = [t or "" for t in b.column("text").to_pylist()]
             if sizes:
                 distinct = {t: k for k, t in enumerate(dict.fromkeys(given))}

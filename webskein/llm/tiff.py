@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import _parts
+from .common import slices
 
 WIDTH = 64
 PAGE_ROWS = 16384
@@ -255,7 +255,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id and media: each text's padded bytes as a TIFF file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([write(padded(t or "")) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "media"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, media binary")
@@ -287,7 +287,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """Per row: the text stored as TIFF, its pages read back, and digests and features of what was read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches):
             given = [t or "" for t in b.column("text").to_pylist()]
             done = {t: _row(t) for t in dict.fromkeys(given)}
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([done[t][i] for t in given], kind) for i, (_, kind) in enumerate(_COLUMNS))], ["doc_id", *(n for n, _ in _COLUMNS)])

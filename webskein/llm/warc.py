@@ -9,7 +9,8 @@ a directory with the first key of every block; the first keys of the files are t
 A null html is an empty payload; a null url has the empty key; a null page_id counts as smallest, and refers_to is null
 where the response's page_id is. Of repeated rows of one page_id and payload one is the response. Payloads of any size
 are one record. Files carry the number of the task attempt that wrote them and captures name their file, so attempts
-that are repeated after a lost executor don't disturb what others have read. Columns of other names aren't read. An
+that are repeated after a lost executor don't disturb what others have read. Pages are told apart by their place in the
+scan: a table whose rows don't come in the same order each time (the result of a shuffle) must be written first. Columns of other names aren't read. An
 empty table gives no files and an empty result.
 """
 
