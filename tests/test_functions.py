@@ -69,3 +69,22 @@ def test_entities(spark):
     assert emails("logo@2x.png", ("mailto:Me@Site.org?subject=x", "/a")) == ["me@site.org"]
     pages = spark.createDataFrame([("u", ["https://netflix.com/x", "/x.com/", "https://github.com/a", "https://netflix.com/x", "https://fb.com/p"])], "url string, hrefs array<string>")
     assert [(r.platform, r.link) for r in entities.social_links(pages).orderBy("pos").collect()] == [("twitter", "https://netflix.com/x"), ("github", "https://github.com/a"), ("facebook", "https://fb.com/p")]
+
+
+def test_html_summaries(spark):
+    long = "A first paragraph that is long enough to be a summary of the page."
+    pages = spark.createDataFrame([("a", "text", ["short one", long + "x" * 600]), ("b", "short", []), ("c", None, None)], "url string, text string, paragraphs array<string>")
+    got = {r.url: (r.method, r.summary) for r in text.html_summaries(pages).collect()}
+    assert got == {"a": ("first_paragraph", (long + "x" * 600)[:500]), "b": ("too_short", "short"), "c": ("too_short", "")}
+
+
+def test_config(tmp_path):
+    from webskein import config
+
+    path = tmp_path / "c.json"
+    path.write_text('{"crawl": {"max_depth": 3}, "politeness": {"max_delay": 9.0}}')
+    c = config.load(str(path), {"crawl": {"max_depth": 2}})
+    assert (c.crawl.max_depth, c.politeness.max_delay, c.output.batch_size, c.as_dict()["extraction"]["store_html"]) == (2, 9.0, 100, False)
+    for bad in ({"none": {}}, {"crawl": {"render_mode": "x"}}, {"politeness": {"min_delay": 0}}):
+        with pytest.raises(ValueError):
+            config.load(None, bad)

@@ -152,6 +152,8 @@ def test_stores(spark, tmp_path):
     stores.write_json_batches(pages, str(tmp_path / "out"), "url")
     back = {r.batch: [p.url for p in r.pages] for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert back[2] == [f"u{i:04d}" for i in range(100, 200)]
+    stores.write_json_pages(pages.limit(3), str(tmp_path / "pages"))
+    assert {r.file for r in spark.read.text(str(tmp_path / "pages")).select("file").distinct().collect()} == {r[0] for r in pages.limit(3).select(stores.single_file_name(F.col("url"))).collect()}
     assert stores.summary(pages, pages.limit(2), 5).first().pages_per_second == 50 and stores.output_stats(pages).first().pending == 50
 
 

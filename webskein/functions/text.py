@@ -70,5 +70,13 @@ def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", most: in
     )
 
 
+def html_summaries(pages: DataFrame, key: str = "url", text: str = "text", paragraphs: str = "paragraphs") -> DataFrame:
+    """key, method and summary: the first paragraph of over 50 characters, cut at 500; without one, the summary of the text."""
+    first = F.get(F.filter(F.col(paragraphs), lambda p: F.length(p) > 50), F.lit(0))
+    plain = summaries(pages.select(key, text), key, text)
+    found = pages.select(key, F.substring(first, 1, 500).alias("first"))
+    return plain.join(found, key).select(key, F.when(F.col("first").isNotNull(), "first_paragraph").otherwise(F.col("method")).alias("method"), F.coalesce("first", "summary").alias("summary"))
+
+
 def word_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

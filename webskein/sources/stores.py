@@ -66,6 +66,12 @@ def single_file_name(url: Column) -> Column:
     return F.concat(F.lit("page_"), F.substring(F.md5(url), 1, 12), F.lit(".json"))
 
 
+def write_json_pages(pages: DataFrame, folder: str) -> None:
+    """Every page as a JSON text of its own, in a folder named after its file name."""
+    rows = pages.select(F.to_json(F.struct(*(F.col(c) for c in pages.columns))).alias("value"), single_file_name(F.col("url")).alias("file"))
+    rows.repartition("file").write.mode("overwrite").partitionBy("file").text(folder)
+
+
 def output_stats(pages: DataFrame, size: int = BATCH) -> DataFrame:
     """total_pages, batches_written and pending of a buffer that is flushed every `size` pages."""
     return pages.agg(F.count("*").alias("total_pages")).select("total_pages", F.floor(F.col("total_pages") / size).alias("batches_written"), F.pmod("total_pages", F.lit(size)).alias("pending"))
