@@ -29,11 +29,12 @@ def with_error_runs(log: DataFrame, key: str = "domain") -> DataFrame:
 
 def rolling_response_time(log: DataFrame, size: int = ROLLING, key: str = "domain") -> DataFrame:
     """The log with avg_response_time: the mean of the last `size` successful times so far; 0 before the first."""
-    recent = _by(key).rowsBetween(1 - size, 0)
+    recent = Window.partitionBy(key, "success").orderBy("ts", "seq").rowsBetween(1 - size, 0)
     exact = F.sum(F.col("response_time").cast("decimal(28,6)")).over(recent).cast("double")  # no order of addition matters
-    good = log.filter("success").withColumn("mean", exact / F.count("*").over(recent)).select(key, "ts", "seq", "mean")
     last = F.last("mean", ignorenulls=True).over(_by(key).rowsBetween(Window.unboundedPreceding, 0))
-    return log.join(good, [key, "ts", "seq"], "left").withColumn("avg_response_time", F.coalesce(last, F.lit(0.0))).drop("mean")
+    # dealt by key once, which serves both windows
+    given = log.repartition(key).withColumn("mean", F.when(F.col("success"), exact / F.count("*").over(recent)))
+    return given.withColumn("avg_response_time", F.coalesce(last, F.lit(0.0))).drop("mean")
 
 
 def domain_stats(log: DataFrame) -> DataFrame:

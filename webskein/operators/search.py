@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
@@ -55,27 +57,30 @@ def index(docs: DataFrame, *, key: str = "doc_id", field: str = "text") -> DataF
     return each.groupBy("term", "key", "len").agg(F.count("*").alias("tf"))
 
 
-def _bm25(docs: DataFrame, terms: list[str], key: str, field: str) -> DataFrame:
-    """key and score of the documents with a term in the field."""
-    words = texts.words(F.coalesce(F.col(field), F.lit("")))
-    counted = docs.select(F.col(key).alias("key"), words.alias("words"))
-    # one pass: the length of every field, and the counts of the query's few terms
-    lengths = counted.select("key", F.size("words").alias("len"), F.filter("words", lambda w: w.isin(*terms)).alias("hits"))
-    total = lengths.agg(F.count_if(F.col("len") > 0).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean"))
-    tf = lengths.select("key", "len", F.explode("hits").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # both sides that are broadcast have a row per query term, or one
-    joined = tf.join(F.broadcast(df), "term").join(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return joined.groupBy("key").agg(F.sum(part).alias("score"))
-
-
 def ranked_search(docs: DataFrame, query: str, *, key: str = "doc_id", fields: tuple[tuple[str, float], ...] = FIELDS, limit: int = 20) -> DataFrame:
-    """The best documents by BM25: the best field's score times its weight; ties by key."""
-    scored = None
-    for field, weight in fields:
-        one = _bm25(docs, _terms(query), key, field).withColumn("score", F.col("score") * weight)
-        scored = one if scored is None else scored.unionByName(one)
-    best = scored.groupBy("key").agg(F.round(F.max("score"), 6).alias("score"))
-    return best.orderBy(F.desc("score"), "key").limit(limit).withColumnRenamed("key", key)
+    """The best documents by BM25: the best field's score times its weight; ties by key.
+
+    One pass counts lengths and the query's few terms (a single row comes back); the other scores each row by itself, so
+    nothing is shuffled but the best rows.
+    """
+    terms = _terms(query)
+    read = docs.select(F.col(key).alias("key"), *(texts.words(F.coalesce(F.col(f), F.lit(""))).alias(f) for f, _ in fields))
+    brief = read.select("key", *(F.transform(F.array(F.col(f)), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits")))[0].alias(f) for f, _ in fields))
+    long = lambda f: F.when(F.col(f)["len"] > 0, F.col(f)["len"])
+    counts = brief.agg(*(c for i, (f, _) in enumerate(fields) for c in (F.count(long(f)).alias(f"n{i}"), F.avg(long(f)).alias(f"mean{i}"), *(F.count_if(F.array_contains(F.col(f)["hits"], t)).alias(f"df{i}_{k}") for k, t in enumerate(terms))))).first()
+
+    def times(field: str, term: str) -> Column:
+        return F.size(F.filter(F.col(field)["hits"], lambda h: h == term))
+
+    def score(i: int, field: str) -> Column:
+        out = F.lit(0.0)
+        for k, term in enumerate(terms):
+            df = counts[f"df{i}_{k}"]
+            if df:
+                idf = math.log(1 + (counts[f"n{i}"] - df + 0.5) / (df + 0.5))
+                tf = times(field, term)
+                out = out + F.lit(idf * (K1 + 1)) * tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B / counts[f"mean{i}"]) * F.col(field)["len"]))
+        return out
+
+    scored = brief.select("key", *(F.col(f) for f, _ in fields), F.lit(0.0).alias("none")).select("key", F.greatest("none", *(score(i, f) * weight for i, (f, weight) in enumerate(fields))).alias("score"))
+    return scored.filter("score > 0").select(F.col("key").alias(key), F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
