@@ -116,6 +116,9 @@ def test_crawl_is_breadth_first(spark):
     twin = spark.sql("WITH RECURSIVE r(url, depth) AS (SELECT 'http://s/', 0 UNION ALL SELECT dst, depth + 1 FROM r JOIN edges ON src = url WHERE depth < 2) SELECT url, min(depth) AS depth FROM r GROUP BY url")
     assert {r.url: r.depth for r in twin.collect()} == {u: d for u, (d, _) in got.items()}
     assert frontier.crawl(start, edges, max_depth=5, max_urls=3).count() == 3
+    assert [r.url[-1] for r in frontier.next_batch(frontier.crawl(start, edges, max_depth=2), 9).collect()] == ["/", "a", "b", "c"]
+    chain = spark.createDataFrame([(f"http://s/{i}", f"http://s/{i + 1}", True, 0) for i in range(12)], "src string, dst string, is_internal boolean, pos int")
+    assert [r.seq for r in frontier.crawl(spark.createDataFrame([("http://s/0",)], "url string"), chain, max_depth=9).orderBy("depth").collect()] == list(range(1, 11))
     outside = edges.withColumn("is_internal", F.lit(False))
     assert frontier.crawl(start, outside, max_depth=3).count() == 1 and frontier.crawl(start, outside, max_depth=1, follow_external=True).filter("priority = 4").count() == 2
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..session import checkpointed
+from ..sources import stores
 
 CRITICAL, HIGH, NORMAL, LOW, DEFERRED = range(5)
 EXTERNAL_LINKS, MAX_RETRIES = 10, 3
@@ -51,9 +52,11 @@ def crawl(start: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame],
     wave = reached = checkpointed(seeds(start))
     for depth in range(1, max_depth + 1):
         found = expanded(wave, edges(wave) if callable(edges) else edges, follow_external)
-        room = None if max_urls is None else max(0, max_urls - reached.count())
+        known = reached.count()
+        room = None if max_urls is None else max(0, max_urls - known)
         wave = admitted(found, reached, max_depth=max_depth, room=room)
-        wave = checkpointed(wave.withColumn("seq", F.col("s") * (1 << 12) + F.pmod(F.xxhash64("url"), F.lit(1 << 12))).select("url", "url_hash", "priority", "depth", "parent_url", "seq"))
+        placed = stores.numbered(wave.withColumn("order", F.struct("s", "pos", "url")), "order", 1)
+        wave = checkpointed(placed.withColumn("seq", F.col("place") + known).select("url", "url_hash", "priority", "depth", "parent_url", "seq"))
         if not wave.head(1):
             break
         reached = checkpointed(reached.unionByName(wave))
