@@ -84,16 +84,21 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            given = json.load(f)
+        self.added = [t["content"] for t in given["added_tokens"]]
         back = {c: b for b, c in byte_characters().items()}
-        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
+        ranks = {bytes(back[c] for c in token): i for token, i in given["model"]["vocab"].items() if token not in self.added}
         self.fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if any(a in text for a in self.added):
             return self.exact.encode(text, add_special_tokens=False).ids
