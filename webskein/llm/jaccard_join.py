@@ -277,7 +277,8 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int,
     spark = docs.sparkSession
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
     leads = salts.select(F.col("a").alias("node"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    others = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
+    # only large groups are looked up, so the table is small and their rows aren't brought together
+    others = pairs.join(salts.filter("salts > 1"), "a", "left").select(F.col("b").alias("node"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("bigint"))).alias("salt"), F.lit(1).alias("role"))
     reps = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted, path = written(leads.unionByName(others).join(reps, "node"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -317,7 +318,8 @@ def placed(live: DataFrame, star: DataFrame, linked: DataFrame) -> DataFrame:
     """
     known = live.select("node").distinct().join(star.select(F.col("b").alias("node"), F.col("a").alias("pivot")), "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
     count = known.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
-    blocked = known.join(count, "pivot").select("node", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    # only families of several blocks are looked up, so the table is small and the family's rows aren't brought together
+    blocked = known.join(count.filter("blocks > 1"), "pivot", "left").select("node", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("bigint")))).alias("block"))
     return blocked.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "block")
 
 
