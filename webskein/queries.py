@@ -192,10 +192,11 @@ def pages_by_domain(spark, d):
     return search.pages_by_domain(_stored(spark, d), "ththre.example.com").select("page_id", "url")
 
 
-@query("page_lookup", "SELECT url, count(*) AS pages FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 10 = 0) GROUP BY url")
+@query("page_lookup", f"WITH {_EDGES}, w AS (SELECT url FROM pages UNION SELECT dst FROM edges) SELECT url FROM w WHERE url IN (SELECT url FROM pages)")
 def page_lookup(spark, d):
-    pages = _stored(spark, d)
-    return search.page_exists(pages.filter("page_id % 10 = 0"), pages).groupBy("url").agg(F.count("*").alias("pages"))
+    pages = _t(spark, d, "pages")
+    wanted = pages.select("url").unionByName(markup.link_edges(pages).select(F.col("dst").alias("url"))).distinct()
+    return search.page_exists(wanted, pages)
 
 
 @query("page_count", "SELECT count(*) AS pages FROM pages")
@@ -216,17 +217,17 @@ def frontier_wave(spark, d):
     return found.join(start.select("url_hash"), "url_hash", "left_anti").select("url", "priority", "depth", "parent_url")
 
 
-@query("seen_antijoin", "SELECT DISTINCT url, md5(lower(trim(url))) IN (SELECT md5(lower(trim(url))) FROM pages WHERE page_id % 2 = 0) AS is_seen FROM pages")
+@query("seen_antijoin", "SELECT DISTINCT url, md5(lower(trim(url))) IN (SELECT md5(lower(trim(url))) FROM pages WHERE url LIKE 'https:%') AS is_seen FROM pages")
 def seen_antijoin(spark, d):
     pages = _t(spark, d, "pages")
-    seen = pages.filter("page_id % 2 = 0").select(urls.url_hash(F.col("url")).alias("url_hash"))
+    seen = pages.filter("url LIKE 'https:%'").select(urls.url_hash(F.col("url")).alias("url_hash"))
     return frontier.is_seen(pages.select("url").distinct(), seen)
 
 
-@query("failed_urls", "SELECT md5(lower(trim(url))) AS url_hash, count(*) AS failures, count(*) < 3 AS retry FROM pages JOIN range(3) t(i) ON i <= page_id % 3 GROUP BY 1")
+@query("failed_urls", f"WITH {_EDGES} SELECT md5(lower(dst)) AS url_hash, count(*) AS failures, count(*) < 3 AS retry FROM edges GROUP BY 1")
 def failed_urls(spark, d):
-    pages = _t(spark, d, "pages").select("url", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("page_id") % 3)))
-    return frontier.failures(pages)
+    """Every link as a failed try of its target."""
+    return frontier.failures(markup.link_edges(_t(spark, d, "pages")).select(F.col("dst").alias("url")))
 
 
 @query("json_batches", "SELECT batch, count(*) AS count, printf('batch_%04d.json', batch) AS file FROM (SELECT ((row_number() OVER (ORDER BY page_id) - 1) // 100 + 1)::INT AS batch FROM pages) GROUP BY batch")
@@ -242,13 +243,14 @@ def output_stats(spark, d):
 @query("upsert_last_wins", "SELECT source AS url, max(doc_id) AS version FROM documents GROUP BY source")
 def upsert_last_wins(spark, d):
     rows = _t(spark, d, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("version"))
-    return stores.upsert(rows.filter("version % 2 = 0"), rows, "version")
+    store = _t(spark, d, "documents").filter("lang = 'en'").select(F.col("source").alias("url"), F.col("doc_id").alias("version"))
+    return stores.upsert(store, rows, "version")
 
 
-@query("insert_first_wins", "SELECT source AS url, min(doc_id) AS version FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 5) GROUP BY source")
+@query("insert_first_wins", "SELECT source AS url, min(doc_id) AS version FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source LIKE '%1%') GROUP BY source")
 def insert_first_wins(spark, d):
     rows = _t(spark, d, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("version"))
-    return stores.insert_if_absent(rows.filter("version < 5"), rows, "version")
+    return stores.insert_if_absent(rows.filter("url LIKE '%1%'"), rows, "version")
 
 
 @query("partial_update", "SELECT d.doc_id AS url, coalesce(l.quality, 9) AS quality, d.lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1")
