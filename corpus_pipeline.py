@@ -17,6 +17,8 @@ from webskein.session import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose quality score is lower go.
 LEAST_SCORE = 0.5
+#: Words of a shingle and least percent of shared shingles of near duplicates; the op4 query has stricter ones of its own.
+WORDS, PERCENT = 5, 80
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,9 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; documents without an id stay, as they're linked with nothing."""
+    """One document of each near-duplicate group by WORDS and PERCENT; documents without an id stay, as they're linked with nothing."""
     ship(spark)
-    groups = jaccard_join.near_duplicates(docs)
+    groups = jaccard_join.near_duplicates(docs, words=WORDS, percent=PERCENT)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)

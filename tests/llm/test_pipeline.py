@@ -53,3 +53,24 @@ def test_odd_documents(spark, tmp_path):
     spark.createDataFrame(rows[:0], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert packing.LENGTH == 2048
+
+
+def test_near_duplicates_share_80_percent_of_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(100)]
+    edited = lambda *places: " ".join("edited" + w if i in places else w for i, w in enumerate(words))
+    given = [(1, edited()), (2, edited(30, 70)), (3, edited(20, 45, 80)), (4, " ".join(f"v{i}" for i in range(100)))]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in given], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, DIR).collect()}
+    assert got == {1, 3, 4} and {str(i) for i in got} == {c for _, _, c in components(given, 5, 80)}
+    assert {c for _, _, c in components(given)} == {"1", "2", "3", "4"}  # by the op4 query's values the second stays
+
+
+def test_near_duplicate_stage_equals_brute_force_over_documents(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = {r.doc_id: r for r in docs.collect()}
+    stay = corpus_pipeline.near_duplicate_stage(spark, docs, DIR).cache()
+    assert {str(r.doc_id) for r in stay.collect()} == {c for _, _, c in components(given, 5, 80)}
+    assert all(r == rows[r.doc_id] for r in stay.collect())
+    check([(r.doc_id, r.text) for r in stay.collect()], corpus_pipeline.packing_stage(spark, stay, DIR).collect())
+    stay.unpersist()
