@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from webskein.operators import classify, dom
+from webskein.operators import classify, dom, language
 from webskein.plans import pipeline
 
 PAGE = """<html lang="en-GB"><head><title>T</title><meta name="Description" content=" d "><meta name="keywords" content="a, ,b"><meta property="og:title" content="o"><meta property="og:title" content="o2">
@@ -53,6 +53,27 @@ def test_page_records(spark):
     assert rows["http://e/"].text_content == "" and rows["http://n/"].classification.type == "unknown"
 
 
+def test_page_records_are_whole(spark):
+    text = {"en": "the cat and the dog are in the house with the other one ", "de": "der Hund und die Katze sind in dem Haus mit der anderen "}
+    docs = spark.createDataFrame([(i, t * 5, k) for i, (k, t) in enumerate(text.items())], "doc_id int, text string, lang string")
+    link = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    given = [
+        ("http://a/", f"<html lang='fr-FR'>{text['de']}{link('https://github.com/a', ' https://X.com/b ', '/github.com/c', 'https://github.com/a', 'https://other.org/')}", 2),
+        ("http://b/", f"<html><p>{text['de']}", 0), ("http://b/", f"<html><p>{text['en']}", 1), (None, "<p>short", None),
+        ("http://c/", f"<meta http-equiv='content-language' content='es-ES'>{text['en']}", 0),
+    ]
+    pages = spark.createDataFrame(given, "url string, html string, depth int")
+    rows = {(r.url, r.depth): r for r in pipeline.page_records(pages, language.profiles(docs)).collect()}
+    assert len(rows) == 5
+    assert [(e.platform, e.url) for e in rows["http://a/", 2].entities.social_links] == [("github", "https://github.com/a"), ("twitter", "https://X.com/b")]
+    found = {k: (r.language, r.language_detected.language, r.language_detected.source) for k, r in rows.items()}
+    assert found["http://a/", 2] == ("fr", "fr", "html_attribute") and found["http://c/", 0] == ("es", "es", "html_attribute")
+    assert found["http://b/", 0] == ("de", "de", "profile") and found["http://b/", 1] == ("en", "en", "profile")
+    assert found[None, None] == ("unknown", "unknown", "insufficient_content")
+    assert rows["http://b/", 0].language_detected.confidence > 0.5 and [a.language for a in rows["http://b/", 0].language_detected.alternatives] == ["en"]
+    assert rows["http://a/", 2].language_detected.alternatives == [] and pipeline.page_records(pages.drop("depth")).filter("depth is null").count() == 5
+
+
 def test_sql_functions(spark):
     dom.register(spark)
     spark.createDataFrame([("http://h.example.com/", PAGE)], "url string, html string").createOrReplaceTempView("one_page")

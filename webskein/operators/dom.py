@@ -421,13 +421,13 @@ def page_parts(html: str, url: str, strict: bool = True) -> dict:
     )
 
 
-def extracted(pages: DataFrame, *, fields: tuple[str, ...] | None = None, strict: bool = True, keep_html: bool = False) -> DataFrame:
-    """url and the fields of page_parts (all, or those named) for every page, and its html if it is to be kept; null html and url count as empty."""
+def extracted(pages: DataFrame, *, fields: tuple[str, ...] | None = None, strict: bool = True, keep_html: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """url and the fields of page_parts (all, or those named) for every page, its html if it is to be kept, and the columns in keep; null html and url count as empty."""
     from pyspark.sql.pandas.types import from_arrow_type
 
     names = list(fields or _FIELDS)
-    kept = ["url", *(["html"] if keep_html else [])]
-    schema = ", ".join(f"{k} string" for k in kept) + ", " + ", ".join(f"{n} {from_arrow_type(_FIELDS[n]).simpleString()}" for n in names)
+    kept = ["url", *(["html"] if keep_html else []), *keep]
+    schema = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in kept) + ", " + ", ".join(f"{n} {from_arrow_type(_FIELDS[n]).simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -436,7 +436,7 @@ def extracted(pages: DataFrame, *, fields: tuple[str, ...] | None = None, strict
             as_map = lambda n, v: list(v.items()) if _FIELDS[n] is _MAP else v
             yield pa.RecordBatch.from_arrays([*map(b.column, kept), *(pa.array([as_map(n, r[n]) for r in rows], _FIELDS[n]) for n in names)], [*kept, *names])
 
-    return spread(pages.select("url", "html")).mapInArrow(run, schema)
+    return spread(pages.select("url", "html", *keep)).mapInArrow(run, schema)
 
 
 def register(spark) -> None:

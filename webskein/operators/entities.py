@@ -52,6 +52,12 @@ def platform(url: Column) -> Column:
     return out
 
 
+def social(hrefs: Column) -> Column:
+    """The distinct absolute links to a platform, by their first place."""
+    absolute = F.filter(F.transform(hrefs, lambda h: F.regexp_replace(h, r"^\s+|\s+$", "")), lambda h: h.rlike("^https?://"))
+    return F.array_distinct(F.filter(F.transform(absolute, lambda h: F.struct(platform(h).alias("platform"), h.alias("url"))), lambda e: e["platform"].isNotNull()))
+
+
 def social_links(pages: DataFrame, hrefs: str = "hrefs") -> DataFrame:
     """url, pos, platform, link: each page's distinct absolute links to a platform."""
     links = pages.select("url", F.posexplode(hrefs).alias("pos", "link")).withColumn("link", F.trim("link")).filter(F.col("link").rlike("^https?://"))

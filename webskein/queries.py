@@ -53,7 +53,7 @@ _LAST2 = "array_to_string(list_slice(string_split(" + _HOST + ", '.'), -2, -1),
 
 @query("page_records")
 def page_records(spark, d):
-    return pipeline.page_records(_t(spark, d, "pages"))
+    return pipeline.page_records(_t(spark, d, "pages"), language.profiles(_t(spark, d, "documents")))
 
 
 @query("page_lang_counts", "SELECT lower(split_part(regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1), '-', 1)) AS language, count(*) AS pages FROM pages GROUP BY 1")
