@@ -1,5 +1,7 @@
 import html
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -33,6 +35,29 @@ def test_blocks():
     assert texts("<h2>x</h3>y") == ["x", "y"] and q.blocks("<h2>x</h3><p>y")[1].path == ("p",)
 
 
+def test_attributes_of_any_number_and_cut_off_tags():
+    link = lambda n: f"<a {'x=1 ' * n}title=\"a > b\" y='>'>link</a> after"
+    assert texts(link(100)) == texts(link(50_000)) == ["link after"]
+    assert texts('<p class="a>b" title = \'c>d\'>x') == ["x"] and texts("<p it's>x") == ["x"]
+    assert texts("x<b " * 30_000) == ["x"] and texts("<p a='b>x") == ["x"]
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<div>x" * n, "<b>" * n + "<p>x" * n, "<h2><b>" * n + "</i></h3>x" * n):
+            q.features([q.blocks(page)])
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = min(seconds(5000) for _ in range(3)), seconds(100_000)
+    assert large < 20 * small * 2.5 + 1
+    tracemalloc.start()
+    q.blocks("<div>x" * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
 def test_gradients_are_those_of_the_loss():
     pages = [html_training.generated(k) for k in (1, 2)]
     m = q.Labeller.new(3)
@@ -72,7 +97,7 @@ def test_pages_give_their_articles(spark, model):
 
 
 def test_odd_pages(spark, model):
-    rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", PAGE, "t"), (3, "u", PAGE, "t"), (4, "u", "<div>" * 3000 + "deep", "t"), (5, "u", "<article>" + "<p>some words of a paragraph, and more.</p>" * 5000 + "</article>", "t"), (6, "u", "<script>only", "t")]
+    rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", PAGE, "t"), (3, "u", PAGE, "t"), (4, "u", "<div>x" * 100_000 + "deep", "t"), (5, "u", "<article>" + "<p>some words of a paragraph, and more.</p>" * 5000 + "</article>", "t"), (6, "u", "<script>only", "t")]
     schema = "page_id bigint, url string, html string, text string"
     got = q.extract(spark.createDataFrame(rows, schema), model.w).collect()
     assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)

@@ -7,7 +7,7 @@ not; the article blocks, in page order, are the text. The model is trained on pa
 
 A null or empty html gives an empty text, as does a page without an article block. Scripts, styles and other unseen
 elements aren't text. Markup that isn't closed is closed as browsers do; a tag that the page's end cuts off is dropped.
-Pages of any length are read whole. Every row gives one row; columns of other names aren't read. An empty table gives an
+Pages of any length, depth and number of attributes are read whole, in time and memory in proportion to them. Every row gives one row; columns of other names aren't read. An empty table gives an
 empty one.
 """
 
@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import functools
 import html
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import byte_table, document_words
 
@@ -32,7 +33,8 @@ HIDDEN = 24
 PAGE_CHARS, PADDED_BLOCKS = 1 << 20, 20_000
 THRESHOLD = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,20000}|[^>]*)>|<[!?][^>]*(?:>|$)|</?[A-Za-z][^<]*$|[^<]+|<", re.S)
+#: A comment, a tag (quotes count after an equals sign only, as in browsers; what the page's end cuts off has no ">"), a declaration, or text.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS_IN_NAME = re.compile(r"[A-Za-z]+")
 _UNSEEN = {"script", "style", "noscript", "template", "svg", "iframe", "object", "title", "math", "canvas", "audio", "video"}
@@ -44,11 +46,39 @@ _CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "t
 _TEXT_BYTES = byte_table(ranges=((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)))
 
 
+class Path:
+    """Where a block lies: an element and, by `parent`, those around it. Equal paths of a page are one object, and each has the masks of its tokens, so that depth costs nothing."""
+
+    __slots__ = ("parent", "tag", "element", "depth", "near", "above", "below")
+
+    def __init__(self, parent: "Path | None" = None, tag: str = "", element: str = ""):
+        self.parent, self.tag, self.element, self.below = parent, tag, element, {}
+        self.depth = parent.depth + 1 if parent else 0
+        self.near, around = _masks(element)
+        self.above = around | parent.above if parent else 0
+
+    def inside(self, tag: str, element: str) -> "Path":
+        if (found := self.below.get(element)) is None:
+            found = self.below[element] = Path(self, tag, element)
+        return found
+
+    def elements(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.parent:
+            out.append(at.element)
+            at = at.parent
+        return tuple(reversed(out))
+
+
 class Block:
-    __slots__ = ("path", "text", "links")
+    __slots__ = ("place", "text", "links")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int):
-        self.path, self.text, self.links = path, text, links
+    def __init__(self, place: Path, text: str, links: int):
+        self.place, self.text, self.links = place, text, links
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.place.elements()
 
 
 def _element(tag: str, attributes: str) -> str:
@@ -59,12 +89,18 @@ def _element(tag: str, attributes: str) -> str:
     return " ".join([tag, *names])
 
 
+def _is_heading(tag: str) -> bool:
+    return len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, with their paths and the number of characters in links."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Path] = [Path()]
+    outer: list[int] = []  # places in the stack of the block elements
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    links = unseen = anchors = 0
+    links = unseen = headings = 0
     at = 0
 
     def flush() -> None:
@@ -72,15 +108,18 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(e for _, e in stack), text, min(links, len(text))))
+                out.append(Block(stack[-1], text, min(links, len(text))))
             parts.clear()
         links = 0
 
     def pop() -> None:
-        nonlocal unseen, anchors
-        tag, _ = stack.pop()
+        nonlocal unseen, headings
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
         unseen -= tag in _UNSEEN
-        anchors -= tag == "a"
+        headings -= _is_heading(tag)
+        if outer and outer[-1] == len(stack):
+            outer.pop()
 
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -90,37 +129,41 @@ def blocks(page: str) -> list[Block]:
             if text[0] != "<" or text == "<":
                 if not unseen:
                     parts.append(text)
-                    if anchors:
+                    if open_tags["a"]:
                         links += len(text.strip())
             continue
+        if not m[4]:  # cut off
+            continue
         tag = tag.lower()
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():  # ends whichever heading is open
-                tag = next((t for t, _ in reversed(stack) if len(t) == 2 and t[0] == "h" and t[1].isdigit()), tag)
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
+            if _is_heading(tag):  # ends whichever heading is open
+                if headings:
+                    while not _is_heading(stack[-1].tag):
+                        pop()
+                    pop()
+            elif open_tags[tag]:
+                while stack[-1].tag != tag:
                     pop()
                 pop()
             continue
         if tag in _BLOCK:
             flush()
-            closes = _CLOSES.get(tag)
-            for k in range(len(stack) - 1, -1, -1):  # a block ends the paragraph or item that it can't lie in
-                t = stack[k][0]
-                if t == "p" and tag != "br" or closes and t in closes:
-                    while len(stack) > k:
-                        pop()
-                    if t == "p":
-                        continue
-                elif t in _BLOCK:
-                    break
+            closes = _CLOSES.get(tag, ())
+            # a block ends the paragraph or item that it can't lie in
+            while outer and ((t := stack[outer[-1]].tag) == "p" and tag != "br" or t in closes):
+                k = outer[-1]
+                while len(stack) > k:
+                    pop()
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
-        stack.append((tag, _element(tag, m[3])))
+        if tag in _BLOCK:
+            outer.append(len(stack))
+        stack.append(stack[-1].inside(tag, _element(tag, m[3])))
+        open_tags[tag] += 1
         unseen += tag in _UNSEEN
-        anchors += tag == "a"
+        headings += _is_heading(tag)
         if tag in _RAW:  # its content is no markup
             end = re.compile(rf"</{tag}", re.I).search(page, m.end())
             at = end.start() if end else len(page)
@@ -130,18 +173,28 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+_HALF = PATHS // 2
+
+
+@functools.lru_cache(maxsize=100_000)
+def _masks(element: str) -> tuple[int, int]:
+    """The bits of an element's tokens in the two halves of a path's vector."""
+    hashes = [_name_hash(token) for token in element.split(" ")] if element else []
+    near = above = 0
+    for h in hashes:
+        near |= 1 << h // _HALF % _HALF
+        above |= 1 << h % _HALF
+    return near, above
+
+
 @functools.lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tokens of a path: the innermost element, and everything above it."""
-    v = np.zeros(PATHS, dtype=np.float32)
-    half = PATHS // 2
-    for depth, element in enumerate(reversed(path)):
-        for token in element.split(" "):
-            h = _name_hash(token)
-            v[half + h % half] = 1
-            if depth < 2:
-                v[h // half % half] = 1
-    return v
+def _bits(near: int, above: int) -> np.ndarray:
+    return np.array([float(mask >> i & 1) for mask in (near, above) for i in range(_HALF)], dtype=np.float32)
+
+
+def _path_vector(place: Path) -> np.ndarray:
+    """Hashed tokens of a path: the two innermost elements, and all of them."""
+    return _bits(place.near | (place.parent.near if place.parent else 0), place.above)
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -163,23 +216,23 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     k = 0
     for page in pages:
         total = sum(len(b.text) for b in page) + 1
-        same, before = Counter(b.path for b in page), 0
+        same, before = Counter(id(b.place) for b in page), 0
         length_of = Counter()
         for b in page:
-            length_of[b.path] += len(b.text)
+            length_of[id(b.place)] += len(b.text)
         for i, b in enumerate(page):
             size = len(b.text)
-            x[k, :PATHS] = _path_vector(b.path)
+            x[k, :PATHS] = _path_vector(b.place)
             x[k, PATHS + WORDS :] = (
                 np.log1p(size) / 5,
                 b.links / size,
                 sum(map(b.text.count, ".,!?;:")) / size * 10,
-                len(b.path) / 10,
+                b.place.depth / 10,
                 i / len(page),
                 before / total,
                 size / total,
-                np.log1p(same[b.path]) / 4,
-                length_of[b.path] / total,
+                np.log1p(same[id(b.place)]) / 4,
+                length_of[id(b.place)] / total,
                 float(b.text[-1] in ".!?:”\""),
             )
             before += size
@@ -310,11 +363,25 @@ def article(page: list[Block], chosen: np.ndarray) -> str:
     return " ".join(b.text for b, c in zip(page, chosen, strict=True) if c >= THRESHOLD)
 
 
+_weights: list[dict[str, np.ndarray]] = []
+
+
+def trained_weights(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The weights of html_training's model, fitted once a process by one Spark task: its worker uses one BLAS thread (more are slower on matrices this small) and the driver needn't."""
+    if not _weights:
+
+        def fit(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from .html_training import trained
+
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained().w)], pa.binary())], ["w"])
+
+        _weights.append(pickle.loads(spark.range(1, numPartitions=1).mapInArrow(fit, "w binary").first()["w"]))
+    return _weights[0]
+
+
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
-    from .html_training import trained
-
-    held = pages.sparkSession.sparkContext.broadcast(weights or trained().w)  # a few tens of thousands of numbers
+    held = pages.sparkSession.sparkContext.broadcast(weights or trained_weights(pages.sparkSession))  # a few tens of thousands of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(held.value)
@@ -339,10 +406,8 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> D
 
 
 def labelled_blocks(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """A row per block: page_id, block (from 0), path, text, probability."""
-    from .html_training import trained
-
-    held = pages.sparkSession.sparkContext.broadcast(weights or trained().w)
+    """A row per block: page_id, block (from 0), element (the innermost one), depth, text, probability."""
+    held = pages.sparkSession.sparkContext.broadcast(weights or trained_weights(pages.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(held.value)
@@ -350,6 +415,16 @@ def labelled_blocks(pages: DataFrame, weights: dict[str, np.ndarray] | None = No
             for page_id, page in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 x = blocks(page or "")
                 p = model.probabilities(features([x]), [len(x)])
-                yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(x), pa.int64()), pa.array(range(len(x)), pa.int64()), pa.array(["/".join(e.split(" ")[0] for e in k.path) for k in x], pa.string()), pa.array([k.text for k in x], pa.string()), pa.array(p.astype(float), pa.float64())], ["page_id", "block", "path", "text", "probability"])
-
-    return pages.selectExpr("cast(page_id as bigint) page_id", "cast(html as string) html").mapInArrow(run, "page_id bigint, block bigint, path string, text string, probability double")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([page_id] * len(x), pa.int64()),
+                        pa.array(range(len(x)), pa.int64()),
+                        pa.array([k.place.element for k in x], pa.string()),
+                        pa.array([k.place.depth for k in x], pa.int32()),
+                        pa.array([k.text for k in x], pa.string()),
+                        pa.array(p.astype(float), pa.float64()),
+                    ],
+                    ["page_id", "block", "element", "depth", "text", "probability"],
+                )
+
+    return pages.selectExpr("cast(page_id as bigint) page_id", "cast(html as string) html").mapInArrow(run, "page_id bigint, block bigint, element string, depth int, text string, probability double")

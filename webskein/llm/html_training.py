@@ -170,7 +170,7 @@ def generated(seed: int) -> tuple[list[Block], list[int]]:
     """The blocks of a generated page and their labels (1: article)."""
     found = blocks(_Writer(seed).page())
     labels = [int(_MARK in b.text) for b in found]
-    return [Block(b.path, b.text.replace(_MARK, ""), b.links) for b in found], labels
+    return [Block(b.place, b.text.replace(_MARK, ""), b.links) for b in found], labels
 
 
 @functools.cache
