@@ -50,8 +50,8 @@ def test_deep_pages_take_linear_time_and_memory():
         return time.perf_counter() - began
 
     seconds(1000)
-    small, large = min(seconds(5000) for _ in range(3)), seconds(100_000)
-    assert large < 20 * small * 2.5 + 1
+    small, large = min(seconds(5000) for _ in range(2)), seconds(50_000)
+    assert large < 10 * small * 2.5 + 1
     tracemalloc.start()
     q.blocks("<div>x" * 100_000)
     assert tracemalloc.get_traced_memory()[1] < 150e6
@@ -97,7 +97,7 @@ def test_pages_give_their_articles(spark, model):
 
 
 def test_odd_pages(spark, model):
-    rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", PAGE, "t"), (3, "u", PAGE, "t"), (4, "u", "<div>x" * 100_000 + "deep", "t"), (5, "u", "<article>" + "<p>some words of a paragraph, and more.</p>" * 5000 + "</article>", "t"), (6, "u", "<script>only", "t")]
+    rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", PAGE, "t"), (3, "u", PAGE, "t"), (4, "u", "<div>x" * 20_000 + "deep", "t"), (5, "u", "<article>" + "<p>some words of a paragraph, and more.</p>" * 5000 + "</article>", "t"), (6, "u", "<script>only", "t")]
     schema = "page_id bigint, url string, html string, text string"
     got = q.extract(spark.createDataFrame(rows, schema), model.w).collect()
     assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
