@@ -1,9 +1,12 @@
 import base64
 import hashlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from webskein.llm import byte_bpe
 
@@ -19,9 +22,9 @@ def expected(text):
 
 
 def test_round_trip_equals_rank_merging(spark, rows):
-    given = [x for x in ODD if x[0] != 9] + [(9, "xy" * 5000)]
-    got = byte_bpe.round_trip(rows(given)).collect()
-    assert sorted(map(str, ((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got))) == sorted(str(expected(t)) for _, t in given)
+    texts = [*ODD, (10, "漢字かな" * 3000 + "。" + "漢字" * 3000), (11, "a\u00a0 \u00a0b  \u2003c \x1c d"), (12, "".join(map(chr, range(1, 0x3100))))]
+    got = byte_bpe.round_trip(rows(texts)).collect()
+    assert sorted(map(str, ((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got))) == sorted(str(expected(t)) for _, t in texts)
     assert byte_bpe.round_trip(rows([])).count() == 0
 
 
@@ -36,7 +39,29 @@ def test_cut_texts_keep_their_ids():
     text = "Some words, and 1234 numbers  with   spaces\n\nand é lines. It's so " * 300
     parts = list(bpe.cuts(text, 100))
     assert len(parts) > 50 and "".join(parts) == text
-    assert [i for p in parts for i in bpe.encode([p])[0][0]] == ENC.encode_ordinary(text)
+    assert [int(i) for p in parts for i in bpe.encode([p])[0]] == ENC.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x0b'ab1.s\u00a0\u3000。漢é"), st.characters(codec="utf-8")), max_size=60))
+def test_any_text_has_the_library_s_ids_and_offsets(text):
+    bpe = byte_bpe.vocabulary()
+    want = bpe.tokenizer.encode(text, add_special_tokens=False)
+    for long in (2048, 4):
+        with mock.patch.object(byte_bpe, "LONG", long):
+            bpe.memo.clear()
+            ids = bpe.encode([text])[0]
+        assert ids.tolist() == want.ids == ENC.encode_ordinary(text)
+    starts, ends = bpe.offsets(ids, text.encode())
+    assert list(zip(starts.tolist(), ends.tolist())) == want.offsets and bpe.decode(want.ids) == text.encode()
+
+
+def test_long_unbroken_texts_are_cut_before_marks():
+    bpe = byte_bpe.vocabulary()
+    text = "漢字仮名。" * 20_000
+    assert max(map(len, bpe.pieces(text))) <= 5 and max(map(len, bpe.cuts(text, 1000))) <= 1010
+    with mock.patch.object(byte_bpe, "REMEMBERED", 3):
+        assert b"".join(bpe.packed([text[:1000], "a b c d e f"])) == np.array(ENC.encode_ordinary(text[:1000]) + ENC.encode_ordinary("a b c d e f"), "<u4").tobytes()
 
 
 def test_offsets_and_split_characters(spark, rows):

@@ -35,7 +35,7 @@ def check(docs, got):
 
 
 def test_every_id_lies_in_one_piece(spark, rows):
-    given = [x for x in ODD if x[0] != 9] + [(9, "xy" * 5000)]
+    given = [*ODD, (10, "a  <|endoftext|>  b<|endoftext|>"), (None, "no id"), (None, None)]
     check(given, packing.pack(rows(given, "start")).collect())
     assert packing.pack(rows([], "start")).count() == 0
 
@@ -48,6 +48,11 @@ def test_documents(spark):
     assert used > 0.97 * sum({r.sequence_id: r.padded_length for r in got}.values())
 
 
+def test_rows_of_one_key_are_spread(spark, rows):
+    got = packing.pack(rows([(1, "the same words " * 300)] * 400, "start")).collect()
+    assert len({r.sequence_id >> 32 for r in got}) == 4
+
+
 def test_hilbert_keys_are_neighbours():
     side = np.arange(8)
     points = np.array([(a, b, c) for a in side for b in side for c in side])

@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-Null texts count as empty. Empty texts have no ids. A text of any length is cut between words where the
-pre-tokenizer cuts anyway, so its ids are those of the whole text and memory stays bounded. Equal texts give equal
-rows; every input row gives one output row, whatever its id (null or repeated); columns of other names pass by
-`encode(keep=...)`, and names that clash with the operator's own are replaced by them. An empty table gives an empty
-table. Strings of special tokens in a text are ordinary text.
+A text is cut where the pre-tokenizer cuts in any case: around white space, and in long runs between a letter and a
+punctuation mark. The library encodes every distinct piece once, and a worker remembers the ids of short pieces (at most
+REMEMBERED of them), so a text's ids are joined from those of its pieces. What the pattern itself doesn't cut, such as
+millions of letters in a row, goes to the library as one piece, in memory in proportion to it (about 200 bytes a
+letter). Decoding joins the bytes of the ids by the byte table before any character is read; offsets follow from the
+lengths of the ids' bytes and the table of characters by bytes.
+
+Null texts count as empty. Empty texts have no ids. Equal texts give equal rows; every input row gives one output row,
+whatever its id (null or repeated); columns of other names pass by `encode(keep=...)`, and names that clash with the
+operator's own are replaced by them. An empty table gives an empty table. Strings of special tokens in a text are
+ordinary text, unless a ByteBpe is asked to read them as such.
 """
 
 from __future__ import annotations
@@ -25,8 +31,18 @@ from .common import slices
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters that are given to the library in one call.
 CALL = 1 << 19
-#: A place where every match of the pre-tokenizer's pattern ends: after a letter, before a space and a letter.
-_SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
+#: Pieces that a worker remembers, and their longest.
+REMEMBERED, SHORT = 200_000, 64
+#: Runs without white space that are longer are cut before punctuation.
+LONG = 2048
+_LETTER = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+_MARK = r"!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+#: Places where every match of the pre-tokenizer's pattern ends: between a letter and a space before a letter, or a mark.
+_SAFE = re.compile(rf"[A-Za-z](?= [A-Za-z])|[{_LETTER}](?=[{_MARK}])")
+_BEFORE_MARK = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}])")
+#: The pattern's cuts around plain white space; characters that some library may take for white space besides.
+_PIECE = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def byte_characters() -> dict[int, str]:
@@ -39,17 +55,20 @@ def byte_characters() -> dict[int, str]:
 class ByteBpe:
     """A vocabulary file, its encoder, and the bytes of every id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         back = {c: b for b, c in byte_characters().items()}
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(added.values()) if special else []
         self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = added[i].encode() if i in added else bytes(back[c] for c in token)
+        self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.memo: dict[str, bytes] = {}
 
     @staticmethod
     def cuts(text: str, size: int = CALL) -> Iterator[str]:
@@ -60,31 +79,57 @@ class ByteBpe:
             at = m.end()
         yield text[at:] if at else text
 
-    def encode(self, texts: list[str], offsets: bool = False) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids of each text and, if asked for, the character range of each id; a character that several ids share is in the range of each."""
-        call = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        out: list[tuple[list[int], list[tuple[int, int]]]] = [([], []) for _ in texts]
-        queue: list[tuple[int, int, str]] = []
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """The text in pieces that encode to the same ids as the whole: mostly a word and the space before it."""
+        if _OTHER_SPACE.search(text):
+            return [text]
+        found = _PIECE.findall(text)
+        if max(map(len, found), default=0) <= LONG:
+            return found
+        return [part for p in found for part in ([p] if len(p) <= LONG else _BEFORE_MARK.split(p))]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        queue: list[tuple[int, list[str]]] = []
         size = 0
 
         def flush() -> None:
-            for (i, at, _), e in zip(queue, call([p for _, _, p in queue], add_special_tokens=False), strict=True):
-                out[i][0].extend(e.ids)
-                if offsets:
-                    out[i][1].extend((a + at, b + at) for a, b in e.offsets)
+            if len(self.memo) > REMEMBERED:
+                self.memo.clear()
+            new = list({p for _, ps in queue for p in ps if p not in self.memo})
+            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+            for i, ps in queue:
+                out[i].append(b"".join(map(self.memo.__getitem__, ps)))
+            for p in new:
+                if len(p) > SHORT:
+                    del self.memo[p]
             queue.clear()
 
         for i, text in enumerate(texts):
-            at = 0
-            for part in self.cuts(text):
-                queue.append((i, at, part))
-                at, size = at + len(part), size + len(part)
+            whole = any(s in text for s in self.special)  # such a string may cut a run of white space
+            for part in [text] if whole else self.cuts(text):
+                queue.append((i, [part] if whole else self.pieces(part)))
+                size += len(part)
                 if size >= CALL:
                     flush()
                     size = 0
         if queue:
             flush()
-        return out
+        return [b"".join(parts) for parts in out]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.frombuffer(b, dtype="<u4") for b in self.packed(texts)]
+
+    def offsets(self, ids: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every id in characters of the text with these bytes; a character that several ids share is in the range of each."""
+        end = np.cumsum(self.sizes[ids])
+        first = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80
+        character = np.cumsum(first) - 1
+        return character[end - self.sizes[ids]], character[end - 1] + 1
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids, joined before any character is read: characters split between ids come together."""
@@ -92,8 +137,8 @@ class ByteBpe:
 
 
 @functools.cache
-def vocabulary(path: str = VOCABULARY) -> ByteBpe:
-    return ByteBpe(path)
+def vocabulary(path: str = VOCABULARY, special: bool = False) -> ByteBpe:
+    return ByteBpe(path, special)
 
 
 def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY, offsets: bool = False) -> DataFrame:
@@ -108,10 +153,12 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for b in slices(batches):
-            found = bpe.encode([t or "" for t in b.column("text").to_pylist()], offsets)
-            columns = [b.column(n) for n in names] + [pa.array([i for i, _ in found], pa.list_(pa.int32()))]
+            given = [t or "" for t in b.column("text").to_pylist()]
+            found = bpe.encode(given)
+            columns = [b.column(n) for n in names] + [pa.array([i.astype(np.int32) for i in found], pa.list_(pa.int32()))]
             if offsets:
-                columns += [pa.array([[x[k] for x in o] for _, o in found], pa.list_(pa.int32())) for k in (0, 1)]
+                ranges = [bpe.offsets(i, t.encode()) for i, t in zip(found, given, strict=True)]
+                columns += [pa.array([r[k].astype(np.int32) for r in ranges], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "ids", *(["starts", "ends"] if offsets else [])])
 
     return given.mapInArrow(run, schema)
@@ -141,21 +188,23 @@ def decode(encoded: DataFrame, *, ids: str = "ids", keep: tuple[str, ...] = ("do
 
 
 def round_trip(docs: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
-    """Per row of documents: doc_id, n_tokens, ids_sha256 and the decoded bytes' sha256."""
+    """Per row of documents: doc_id, n_tokens, ids_sha256, the decoded bytes' sha256, and offsets_sha256 (starts, then ends, of the ids in characters as little-endian unsigned 32-bit integers)."""
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256")
+
+    def row(bpe: ByteBpe, text: str, packed: bytes) -> tuple[int, str, str, str]:
+        ids = np.frombuffer(packed, dtype="<u4")
+        places = np.concatenate(bpe.offsets(ids, text.encode())).astype("<u4")
+        return len(ids), *(hashlib.sha256(x).hexdigest() for x in (packed, bpe.decode(ids.tolist()), places.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for b in slices(batches):
-            rows = []
             given = [t or "" for t in b.column("text").to_pylist()]
             distinct = list(dict.fromkeys(given))
-            done = {}
-            for t, (ids, _) in zip(distinct, bpe.encode(distinct), strict=True):
-                done[t] = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
-            rows = [done[t] for t in given]
+            done = {t: row(bpe, t, p) for t, p in zip(distinct, bpe.packed(distinct), strict=True)}
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column("doc_id"), pa.array([done[t][0] for t in given], pa.int64()), *(pa.array([done[t][k] for t in given], pa.string()) for k in (1, 2, 3))],
+                ["doc_id", *names],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")

@@ -3,8 +3,9 @@
 Each document's hashed word vector is projected to three dimensions (a fixed table of random integers, so that sums
 are exact), the point gets a Hilbert key, the documents are range-sorted by it, and each range is one stream of ids
 that is cut every 2048 ids: neighbours on the curve share sequences. Only the last sequence of a range is not full;
-it is padded to the next power of two. Documents of one key (copies) are spread by their id's hash, so that a hot key
-is split between ranges.
+it is padded to the next power of two. Rows of one key (copies) are spread by a hash of their place in the written table
+of keys, so that a hot key is split between ranges. The ids are the tokenizers library's; the string of an added token
+in a text is that token.
 
 Null texts are empty, and an empty text is its closing id alone. A null doc_id stays null. Every row is packed, also
 repeated ones. An empty table gives no pieces. Columns of other names aren't read. A document of any length is
@@ -14,23 +15,23 @@ encoded part by part.
 from __future__ import annotations
 
 import functools
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import VOCABULARY, ByteBpe, byte_characters
-from .common import SPACED, document_words, grouped, slices, texts
+from .byte_bpe import VOCABULARY, vocabulary
+from .common import SPACED, document_words, folder_bytes, grouped, slices, texts, written
 
 LENGTH = 2048
 CLOSING = 1
 DIMENSIONS, BITS, BINS = 3, 16, 4096
+#: Bytes of the written table of keys that a range has on average.
+RANGE_BYTES = 32 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint"
 
 
@@ -79,37 +80,6 @@ def curve_keys(docs: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
-class Encoder:
-    """The vocabulary's ids; tiktoken merges by the same ranks as the tokenizers library and is several times faster. A text with the string of an added token goes to the tokenizers library itself."""
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        self.path = path
-        with open(path, encoding="utf-8") as f:
-            given = json.load(f)
-        self.added = [t["content"] for t in given["added_tokens"]]
-        back = {c: b for b, c in byte_characters().items()}
-        ranks = {bytes(back[c] for c in token): i for token, i in given["model"]["vocab"].items() if token not in self.added}
-        self.fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @functools.cached_property
-    def exact(self):
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.path)
-
-    def ids(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return [i for part in ByteBpe.cuts(text) for i in self.fast.encode_ordinary(part)]
-
-
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and curve_key of every document."""
 
@@ -125,7 +95,8 @@ def pack(docs: DataFrame, *, length: int = LENGTH, path: str = VOCABULARY) -> Da
     """One row per piece of a document in a sequence; sequence ids are unique, a range's number before its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence, used = encoder(path).ids, TaskContext.get().partitionId() << 32, 0
+        bpe, sequence, used = vocabulary(path, True), TaskContext.get().partitionId() << 32, 0
+        closing = np.array([CLOSING], dtype="<u4").tobytes()
         open_rows: list[tuple] = []
         rows: list[tuple] = []
 
@@ -143,8 +114,9 @@ def pack(docs: DataFrame, *, length: int = LENGTH, path: str = VOCABULARY) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for b in slices(batches):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), CLOSING], dtype="<u4")
+            encoded = bpe.packed([t or "" for t in b.column("text").to_pylist()])
+            for doc_id, packed in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(packed + closing, dtype="<u4")
                 at = 0
                 while at < len(ids):
                     n = min(length - used, len(ids) - at)
@@ -158,5 +130,8 @@ def pack(docs: DataFrame, *, length: int = LENGTH, path: str = VOCABULARY) -> Da
             close()
             yield batch()
 
-    dealt = keyed(docs).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange("curve_key", "tie").sortWithinPartitions("curve_key", "tie")
+    given, folder = written(keyed(docs), "curve")  # so that the ranges' sample needs no second pass over the texts
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-folder_bytes(docs.sparkSession, folder) // RANGE_BYTES))
+    placed = given.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = placed.repartitionByRange(ranges, "curve_key", "tie").sortWithinPartitions("curve_key", "tie")
     return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
