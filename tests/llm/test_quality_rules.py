@@ -45,8 +45,17 @@ def test_cascade_agrees_and_orders_by_worth(spark, rows):
     given = rows(GIVEN, "kept")
     want = Counter((r.doc_id, r.kept) for r in q.measured(given).collect())
     assert Counter((r.doc_id, r.kept) for r in q.cascade(given).collect()) == want
-    docs = spark.createDataFrame([(i, "a b") for i in range(200)], "doc_id bigint, text string")
-    assert q.ordered(docs, [q.Rule("never", F.lit(False)), q.Rule("always", F.lit(True))])[0].name == "always"
+    assert q.ordered({"never": 0.1, "nearly the same": 10.0, "always": 9.0}) == ["nearly the same", "always", "never"]
+    docs = spark.createDataFrame([(i, "! " * 60) for i in range(200)], "doc_id bigint, text string")
+    worth = q.worths(docs)
+    assert len(worth) == len(q.rules(F.lit(""), F.array())) and max(worth["shouting"], worth["word length"]) > 10 * worth["few words"]
+
+
+def test_a_rejected_document_costs_no_further_rule(spark, rows):
+    text = F.col("text")
+    fails = q.Rule("fails", F.raise_error(F.lit("evaluated")).cast("boolean"))
+    first = [r for r in q.rules(text, q.words(text)) if r.name == "few words"]
+    assert rows([(1, "a b")]).select(q.verdict([*first, fails]).alias("v")).first().v == "few words"
 
 
 def test_main_path_is_native(spark, rows):

@@ -1,9 +1,11 @@
 r"""Quality rules in a short-circuit cascade, built of DataFrame functions only.
 
-A rule is a condition on the text that rejects a document. `ordered` runs each rule over a bounded sample of rows,
-takes its seconds a row and its share of rejected rows, and sorts the rules by rejections per second; `cascade` chains
-them in that order in one CASE expression, so a later rule isn't evaluated for a document that an earlier one has
-rejected. The order changes cost only: a document is kept if no rule rejects it.
+A rule is a condition on the text that rejects a document. `ordered` takes a sample of about SAMPLE_ROWS rows by a hash
+of their places in the whole table, times each rule on it (the least of RUNS runs, less an empty one), counts what it
+rejects, and sorts the rules by rejections per second, in steps of a factor of STEP so that the order is stable.
+`cascade` chains them in that order in one CASE expression whose branches hold the rules' own counts, so a later rule
+isn't evaluated for a document that an earlier one has rejected. The order changes cost only: a document is kept if no
+rule rejects it. `measured` takes its verdict from the same cascade; the counts that it returns are computed beside it.
 
 Null texts count as empty and are rejected (no words). Texts of any length are read whole; within a text everything is
 hashing, or sorting of its own three-word windows. Every input row gives one row, also with null or repeated ids;
@@ -12,14 +14,17 @@ columns of other names don't matter (`cascade` keeps all of them, and replaces `
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample from which costs and rejections are estimated.
-SAMPLE_ROWS = 500
+from .common import delete, written
+
+#: Rows of the sample from which costs and rejections are estimated, runs of each rule, factor within which rules are equal.
+SAMPLE_ROWS, RUNS, STEP = 1000, 3, 10
 #: White space between words: space and the control characters 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -89,43 +94,47 @@ class Rule:
     rejects: Column
 
 
-def text_rules(text: Column, ws: Column | None = None) -> list[Rule]:
-    """The rules, from the text alone (and its words, where they are at hand)."""
-    safe = F.coalesce(text.cast("string"), F.lit(""))
-    ws = words(safe) if ws is None else ws
-    return rules(
-        safe,
-        n_words=F.size(ws),
-        word_chars=F.length(F.array_join(ws, "")),
-        symbols=n_symbols(safe),
-        dup_lines=n_dup_lines(safe),
-        repeat_words=n_repeat_words(ws),
-    )
-
-
-def rules(text: Column, *, n_words: Column, word_chars: Column, symbols: Column, dup_lines: Column, repeat_words: Column) -> list[Rule]:
-    lines = F.size(F.split(text, "\n"))
+def rules(text: Column, ws: Column) -> list[Rule]:
+    """The rules, from a text that isn't null and its words. Rules that are worth the same are run in this order."""
+    n_words, word_chars, dup_lines = F.size(ws), F.length(F.array_join(ws, "")), n_dup_lines(text)
     return [
         Rule("few words", n_words < MIN_WORDS),
-        Rule("repeated words", 100 * repeat_words > MAX_REPEAT_PERCENT * n_words),
-        Rule("symbols", 100 * symbols > MAX_SYMBOL_PERCENT * word_chars),
-        Rule("repeated lines", (dup_lines >= MIN_DUP_LINES) & (100 * dup_lines > MAX_DUP_LINE_PERCENT * lines)),
         Rule("shouting", shouting_percent(text) > MAX_SHOUT_PERCENT),
+        Rule("symbols", 100 * n_symbols(text) > MAX_SYMBOL_PERCENT * word_chars),
+        Rule("repeated lines", (dup_lines >= MIN_DUP_LINES) & (100 * dup_lines > MAX_DUP_LINE_PERCENT * F.size(F.split(text, "\n")))),
+        Rule("repeated words", 100 * n_repeat_words(ws) > MAX_REPEAT_PERCENT * n_words),
         Rule("word length", (word_chars > MAX_MEAN_WORD * n_words) | (word_chars < MIN_MEAN_WORD * n_words)),
     ]
 
 
-def ordered(docs: DataFrame, given: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on a sample of the rows, most first."""
-    sample = docs.limit(sample_rows).coalesce(1).cache()
-    n = sample.count()
-    worth = {}
-    for rule in given:
-        began = time.perf_counter()
-        rejected = sample.select(F.count_if(rule.rejects)).first()[0]
-        worth[rule.name] = (rejected + 0.5) / max(n, 1) / (time.perf_counter() - began)
-    sample.unpersist()
-    return sorted(given, key=lambda r: -worth[r.name])
+def worths(docs: DataFrame, *, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
+    """Rejected rows a second of each rule on a sample over the whole table; what a rule gets for nothing (the words) costs it nothing."""
+    every = max(1, docs.count() // sample_rows)
+    safe = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    chosen = docs.select(safe.alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)).alias("at")).filter("at = 0")
+    sample, folder = written(chosen.select("text", words(F.col("text")).alias("ws")).repartition(1), "rules-sample")
+
+    def seconds(condition: Column) -> tuple[float, int]:
+        best = math.inf
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            found = sample.select(F.count_if(condition)).first()[0]
+            best = min(best, time.perf_counter() - began)
+        return best, found
+
+    empty, _ = seconds((F.col("text") == "-") & (F.size("ws") == 0))
+    out = {}
+    for rule in rules(F.col("text"), F.col("ws")):
+        took, rejected = seconds(rule.rejects)
+        out[rule.name] = (rejected + 0.5) / max(took - empty, empty / 10)
+    delete(docs.sparkSession, folder)
+    return out
+
+
+def ordered(worth: dict[str, float]) -> list[str]:
+    """The rules' names, those with the most rejections a second first."""
+    best = max(worth.values(), default=1)
+    return sorted(worth, key=lambda name: round(math.log(best / worth[name], STEP)))
 
 
 def verdict(given: list[Rule]) -> Column:
@@ -136,37 +145,36 @@ def verdict(given: list[Rule]) -> Column:
     return out
 
 
-def cascade(docs: DataFrame, *, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows with `kept`: true where no rule rejects."""
-    order = [r.name for r in ordered(docs, text_rules(F.col(text)), sample_rows)]
+def rejection(text: Column, order: list[str]) -> Column:
+    """The first rule in this order that rejects the text, else null; the text is cut into words once, whichever rules need them."""
 
-    def first_rejection(ws: Column) -> Column:
-        by_name = {r.name: r for r in text_rules(F.col(text), ws)}
+    def of(ws: Column) -> Column:
+        by_name = {r.name: r for r in rules(text, ws)}
         return verdict([by_name[n] for n in order])
 
-    # the text is cut into words once, whichever rules need them
-    cut = words(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.withColumn("kept", bind(cut, first_rejection).isNull())
+    return bind(words(text), of)
+
+
+def cascade(docs: DataFrame, *, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows with `kept`: true where no rule rejects."""
+    order = ordered(worths(docs, text=text, sample_rows=sample_rows))
+    return docs.withColumn("kept", rejection(F.coalesce(F.col(text).cast("string"), F.lit("")), order).isNull())
 
 
 def measured(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id with the base counts, base_failed, and the cascade's verdict."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    order = [r.name for r in ordered(docs, text_rules(F.col("text")), sample_rows)]
+    order = ordered(worths(docs, sample_rows=sample_rows))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def counts(ws: Column) -> Column:
         given = {"n_words": F.size(ws), "word_chars": F.length(F.array_join(ws, "")), "n_symbols": n_symbols(F.col("text")), "n_dup_lines": n_dup_lines(F.col("text")), "n_repeat_words": n_repeat_words(ws)}
         return F.struct(*(c.cast("bigint").alias(n) for n, c in given.items()))
 
-    def judged(c: Column) -> Column:
-        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-        by_name = {r.name: r for r in rules(F.col("text"), n_words=c["n_words"], word_chars=c["word_chars"], symbols=c["n_symbols"], dup_lines=c["n_dup_lines"], repeat_words=c["n_repeat_words"])}
-        return F.struct(c.alias("counts"), failed.alias("base_failed"), verdict([by_name[n] for n in order]).isNull().alias("kept"))
-
-    # everything is one expression, so a filter on a result doesn't count each part again
-    seen = base.select("doc_id", bind(bind(words(F.col("text")), counts), judged).alias("seen"))
-    return seen.select("doc_id", "seen.counts.*", "seen.base_failed", "seen.kept")
+    seen = base.select("doc_id", bind(words(F.col("text")), counts).alias("c"), rejection(F.col("text"), order).isNull().alias("passed"))
+    # bound once more, so that a filter on a result doesn't count each part again
+    failed = lambda c: (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    judged = seen.select("doc_id", bind(F.struct("c", "passed"), lambda x: F.struct(x["c"].alias("c"), failed(x["c"]).alias("base_failed"), (x["passed"] & ~failed(x["c"])).alias("kept"))).alias("seen"))
+    return judged.select("doc_id", "seen.c.*", "seen.base_failed", "seen.kept")
 
 
 ORACLE = r"""
