@@ -1,16 +1,21 @@
 """TIFF columns: write 8-bit grey pages, and walk, decode and list the pages of TIFF files.
 
 Reading handles both byte orders, chains of image directories (a chain that loops ends), strips and tiles, 8- and
-16-bit samples, no compression, LZW, deflate and PackBits, and horizontal predictors. Each page is a row. Null or
-empty files and files that aren't TIFF give no page rows (`read` raises ValueError on them).
-
-`round_trip` treats a null text as empty, and pads each payload with zero bytes to a positive multiple of 64; equal
-texts give equal values. Payloads longer than PAGE_ROWS rows are stored as several pages. Every row gives one row.
+16-bit samples, no compression, LZW, deflate and PackBits, and horizontal predictors. Each page is a row. Whatever else
+a file says (another predictor or compression, places outside the file, strips that decode to too few bytes, pages of
+more than PAGE_BYTES) is an error: `read` raises ValueError, before anything is allocated for it, and `pages` gives a
+row with the error after the rows of the file's good pages. A null file has no rows; an empty one has an error.
+
+`round_trip` treats a null text as empty, and pads each payload with zero bytes to a positive multiple of 64. The form of
+the file (compression, predictor, strips or tiles, byte order) is chosen by a checksum of the payload, so that equal
+texts give equal values and all forms are used. Payloads longer than PAGE_ROWS rows are stored as several pages. The
+rows of a file's pages follow each other and are gathered where they arise. Every row gives one row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -25,25 +31,33 @@ WIDTH = 64
 PAGE_ROWS = 16384
 STRIP_ROWS = 1024
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes of a decoded page up to which it is read.
+PAGE_BYTES = 1 << 28
+#: The most bytes that a byte of each compression can stand for.
+_RATIO = {NONE: 1, LZW: 2600, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 #: Sizes of the field types 1 to 12 of the format.
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-        else:
-            j = i + 1
-            while j < n and j - i < 128 and (j + 1 >= n or data[j] != data[j + 1]):
-                j += 1
-            out += bytes((j - i - 1,)) + data[i:j]
-            i = j
+    a = np.frombuffer(data, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(a.astype(np.int16), prepend=-1))
+    size = np.diff(np.append(edge, len(a)))
+    out, at = bytearray(), 0
+
+    def literal(to: int) -> None:
+        for i in range(at, to, 128):
+            part = data[i : min(i + 128, to)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for first, run in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        literal(first)
+        for i in range(0, run, 128):
+            n = min(128, run - i)
+            out.extend((257 - n if n > 1 else 0, data[first]))
+        at = first + run
+    literal(len(data))
     return bytes(out)
 
 
@@ -63,42 +77,36 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, bits, n_bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, n_bits
-        bits, n_bits = bits << width | code, n_bits + width
-        while n_bits >= 8:
-            n_bits -= 8
-            out.append(bits >> n_bits & 255)
-        bits &= (1 << n_bits) - 1
-
-    codes = {bytes((i,)): i for i in range(256)}
-    following, width, word = 258, 9, b""
-    put(256, 9)
+    out, bits, n_bits = bytearray(), 256, 9  # the first code clears the table
+    longer: dict[int, int] = {}  # code and byte -> code of both
+    following, width, code = 258, 9, -1
     for b in data:
-        longer = word + bytes((b,))
-        if longer in codes:
-            word = longer
+        if code < 0:
+            code = b
+            continue
+        key = code << 8 | b
+        if (found := longer.get(key)) is not None:
+            code = found
             continue
-        put(codes[word], width)
-        codes[longer] = following
+        bits, n_bits = bits << width | code, n_bits + width
+        longer[key] = following
         following += 1
         if following == 4095:
-            put(256, width)
-            codes = {bytes((i,)): i for i in range(256)}
-            following, width = 258, 9
+            bits, n_bits = bits << width | 256, n_bits + width
+            longer, following, width = {}, 258, 9
         elif following in (512, 1024, 2048):
             width += 1
-        word = bytes((b,))
-    if word:
-        put(codes[word], width)
-        following += 1
-        if following in (512, 1024, 2048):
+        code = b
+        if n_bits >= 512:
+            rest = n_bits % 8
+            out += (bits >> rest).to_bytes(n_bits // 8, "big")
+            bits, n_bits = bits & ((1 << rest) - 1), rest
+    if code >= 0:
+        bits, n_bits = bits << width | code, n_bits + width
+        if following + 1 in (512, 1024, 2048):
             width += 1
-    put(257, width)
-    if n_bits:
-        out.append(bits << (8 - n_bits) & 255)
+    bits, n_bits = bits << width | 257, n_bits + width
+    out += (bits << -n_bits % 8).to_bytes(-(-n_bits // 8), "big")
     return bytes(out)
 
 
@@ -185,111 +193,206 @@ def write(payload: bytes, *, width: int = WIDTH, compression: int = DEFLATE, pre
     return bytes(out)
 
 
+def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
+    """The fields of the directory at a place, and the place of the next one."""
+    if at + 2 > len(data):
+        raise ValueError("a directory lies outside the file")
+    (n,) = struct.unpack_from(order + "H", data, at)
+    if at + 6 + 12 * n > len(data):
+        raise ValueError("a directory is cut off")
+    fields: dict[int, list[int]] = {}
+    for i in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        code, place = {1: "B", 3: "H", 4: "I"}.get(kind), at + 10 + 12 * i
+        if not code:
+            continue
+        if (size := _SIZES[kind] * count) > 4:
+            (place,) = struct.unpack_from(order + "I", data, place)
+        if place + size > len(data):
+            raise ValueError("a field lies outside the file")
+        fields[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, place))
+    return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def _block(raw: bytes, compression: int, want: int) -> bytes:
+    """The first `want` bytes that a strip or tile decodes to."""
+    if compression in (DEFLATE, OLD_DEFLATE):
+        try:
+            raw = zlib.decompressobj().decompress(raw, want)
+        except zlib.error as e:
+            raise ValueError(f"deflate: {e}") from None
+    elif compression == LZW:
+        raw = lzw_decode(raw, want)
+    elif compression == PACKBITS:
+        raw = packbits_decode(raw, want)
+    if len(raw) < want:
+        raise ValueError("a strip or tile is too short")
+    return raw[:want]
+
+
+def _page(data: bytes, fields: dict[int, list[int]], order: str) -> dict:
+    get = lambda tag, other: (fields.get(tag) or [other])[0]
+    width, height, bits, samples = get(256, 0), get(257, 0), get(258, 8), get(277, 1)
+    compression, predictor = get(259, NONE), get(317, 1)
+    if not (width and height and samples):
+        raise ValueError("a page has no samples")
+    if bits not in (8, 16) or len(set(fields.get(258, []))) > 1 or get(284, 1) != 1:
+        raise ValueError("samples of 8 or 16 bits, stored pixel by pixel, are read")
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor} isn't read")
+    if compression not in _RATIO:
+        raise ValueError(f"compression {compression} isn't read")
+    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    tiled = 324 in fields
+    tall, wide = (get(323, 0), get(322, 0)) if tiled else (min(get(278, height), height), width)
+    places, sizes = (fields[324], fields.get(325, [])) if tiled else (fields.get(273, []), fields.get(279, []))
+    if not (tall and wide):
+        raise ValueError("strips or tiles have no size")
+    across, down = -(-width // wide), -(-height // tall)
+    if not len(places) == len(sizes) == across * down:
+        raise ValueError("the number of strips or tiles is wrong")
+    pixel = samples * kind.itemsize
+    if across * down * tall * wide * pixel > PAGE_BYTES:
+        raise ValueError("a page is too large")
+    wants = [(tall if tiled else min(tall, height - i // across * tall)) * wide * pixel for i in range(len(places))]
+    for p, s, want in zip(places, sizes, wants, strict=True):
+        if p + s > len(data) or want > _RATIO[compression] * s:
+            raise ValueError("a strip or tile lies outside the file or is too short")
+    image = np.empty((height, width, samples), dtype=kind)
+    for i, (p, s, want) in enumerate(zip(places, sizes, wants, strict=True)):
+        y, x = i // across * tall, i % across * wide
+        block = np.frombuffer(_block(bytes(data[p : p + s]), compression, want), dtype=kind).reshape(-1, wide, samples)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
+        image[y : y + tall, x : x + wide] = block[: height - y, : width - x]
+    return {"width": width, "height": height, "bits": bits, "samples": samples, "compression": compression, "predictor": predictor, "data": image.tobytes()}
+
+
 def read(data: bytes) -> Iterator[dict]:
     """The pages of a TIFF file: page, width, height, bits, samples, compression, predictor and data (the samples, rows first)."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if not order or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen and at + 2 <= len(data):
-        page = len(seen)
+    while at and at not in seen:
         seen.add(at)
-        fields: dict[int, list[int]] = {}
-        (n,) = struct.unpack_from(order + "H", data, at)
-        for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-            size, place = _SIZES.get(kind, 1) * count, at + 10 + 12 * i
-            if size > 4:
-                (place,) = struct.unpack_from(order + "I", data, place)
-            code = {1: "B", 3: "H", 4: "I"}.get(kind)
-            fields[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, place)) if code else []
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-        get = lambda tag, other: (fields.get(tag) or [other])[0]  # noqa: B023, E731
-        width, height, bits, samples = get(256, 0), get(257, 0), get(258, 8), get(277, 1)
-        compression, predictor = get(259, NONE), get(317, 1)
-        if bits not in (8, 16) or get(284, 1) != 1:
-            raise ValueError("samples of 8 or 16 bits, stored pixel by pixel, are read")
-        kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
-        image = np.zeros((height, width, samples), dtype=kind)
-        tiled = 324 in fields
-        tall, wide = (get(323, height), get(322, width)) if tiled else (min(get(278, height), height) or 1, width)
-        across = -(-width // wide) if wide else 1
-        places, sizes = (fields[324], fields[325]) if tiled else (fields.get(273, []), fields.get(279, []))
-        for i, (p, s) in enumerate(zip(places, sizes, strict=True)):
-            y, x = i // across * tall, i % across * wide
-            rows = tall if tiled else min(tall, height - y)
-            want, raw = rows * wide * samples * kind.itemsize, bytes(data[p : p + s])
-            if compression in (DEFLATE, OLD_DEFLATE):
-                raw = zlib.decompress(raw)
-            elif compression == LZW:
-                raw = lzw_decode(raw, want)
-            elif compression == PACKBITS:
-                raw = packbits_decode(raw, want)
-            elif compression != NONE:
-                raise ValueError(f"compression {compression} isn't read")
-            block = np.frombuffer(raw[:want].ljust(want, b"\0"), dtype=kind).reshape(rows, wide, samples)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
-            image[y : y + rows, x : x + wide] = block[: height - y, : width - x]
-        yield {"page": page, "width": width, "height": height, "bits": bits, "samples": samples, "compression": compression, "predictor": predictor, "data": image.tobytes()}
+        fields, after = _fields(data, at, order)
+        yield {"page": len(seen) - 1} | _page(data, fields, order)
+        at = after
+
+
+_NUMBERS = ("page", "width", "height", "bits", "samples", "compression", "predictor")
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page of each file in the column media: its numbers, data and error, after the other columns."""
+    for b in batches:
+        others = [n for n in b.schema.names if n != "media"]
+        for i, file in enumerate(b.column("media").to_pylist()):
+            if file is None:
+                continue
+            row = [b.column(n).slice(i, 1) for n in others]
+            page, found = 0, read(file)
+            while True:
+                try:
+                    p = next(found, None)
+                    error = None
+                except ValueError as e:
+                    p, error = {"page": page}, str(e)
+                if p is None:
+                    break
+                page += 1
+                yield pa.RecordBatch.from_arrays([*row, *(pa.array([p.get(n)], pa.int64()) for n in _NUMBERS), pa.array([p.get("data")], pa.binary()), pa.array([error], pa.string())], [*others, *_NUMBERS, "data", "error"])
+                if error:
+                    break
 
 
 def pages(files: DataFrame, *, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per page of each TIFF in the binary column: key, page, width, height, bits, samples, compression, predictor, data."""
+    """One row per page of each TIFF in the binary column: key, page, width, height, bits, samples, compression, predictor, data, and error (null for good pages)."""
     kind = dict(files.dtypes)[key]
-    names = ("page", "width", "height", "bits", "samples", "compression", "predictor")
+    given = files.selectExpr(f"`{key}` as key", f"cast(`{media}` as binary) as media")
+    return given.mapInArrow(_page_rows, f"key {kind}, {', '.join(f'{n} bigint' for n in _NUMBERS)}, data binary, error string").withColumnRenamed("key", key)
+
+
+def padded(text: str) -> bytes:
+    raw = text.encode()
+    return raw + b"\0" * (-len(raw) % 64 if raw else 64)
+
+
+def form(payload: bytes) -> dict:
+    """The form of a payload's file, by its checksum."""
+    n = zlib.crc32(payload)
+    return {"compression": (NONE, LZW, DEFLATE, PACKBITS)[n & 3], "predictor": 1 + (n >> 2 & 1), "tile": (0, 0, 16, 32)[n >> 3 & 3], "order": "<>"[n >> 5 & 1]}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, data in enumerate(b.column("media").to_pylist()):
-                try:
-                    for p in read(data or b""):
-                        yield pa.RecordBatch.from_arrays([b.column("key").slice(i, 1), *(pa.array([p[n]], pa.int32()) for n in names), pa.array([p["data"]], pa.binary())], ["key", *names, "data"])
-                except (ValueError, struct.error, zlib.error):
-                    continue
 
-    return files.selectExpr(f"`{key}` as key", f"`{media}` as media").mapInArrow(run, f"key {kind}, {', '.join(f'{n} int' for n in names)}, data binary").withColumnRenamed("key", key)
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        files = [write(p, **form(p)) for p in (padded(t or "") for t in b.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(files, pa.binary())], ["row", "doc_id", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and media: each text's padded bytes as a TIFF file."""
+    return _given(docs).mapInArrow(_stored, "row bigint, doc_id bigint, media binary").drop("row")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([write(padded(t or "")) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "media"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, media binary")
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def padded(text: str) -> bytes:
-    raw = text.encode()
-    return raw + b"\0" * (-len(raw) % 64 if raw else 64)
+class _Gathered:
+    """Digests and features of a file's pages, one after the other."""
 
+    def __init__(self):
+        self.sha, self.tail, self.size = hashlib.sha256(), b"", 0
+        self.pages = self.rows = self.total = self.high = self.steps = 0
+        self.low, self.forms, self.last = 255, set(), None
 
-def _row(text: str) -> tuple:
-    media = write(padded(text))
-    parts, n_pages, rows, total, low, high, steps = [], 0, 0, 0, 255, 0, 0
-    for p in read(media):
-        parts.append(p["data"])
-        samples = np.frombuffer(p["data"], dtype=np.uint8)
-        n_pages, rows, total = n_pages + 1, rows + p["height"], total + int(samples.sum(dtype=np.int64))
-        low, high = min(low, int(samples.min())), max(high, int(samples.max()))
-        steps += int(np.count_nonzero(samples[1:] != samples[:-1]))
-    payload = b"".join(parts)
-    feature = f"pages={n_pages};rows={rows};sum={total};min={low};max={high};steps={steps}"
-    return len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    def add(self, p: dict) -> None:
+        data = p["data"]
+        self.sha.update(data)
+        self.tail, self.size = (self.tail + data[-64:])[-64:], self.size + len(data)
+        samples = np.frombuffer(data, dtype=np.uint8)
+        self.pages, self.rows, self.total = self.pages + 1, self.rows + p["height"], self.total + int(samples.sum(dtype=np.int64))
+        self.low, self.high = min(self.low, int(samples.min())), max(self.high, int(samples.max()))
+        self.steps += int(np.count_nonzero(samples[1:] != samples[:-1])) + (self.last is not None and self.last != samples[0])
+        self.last = samples[-1]
+        self.forms.add(f"{p['compression']}/{p['predictor']}")
 
+    def columns(self) -> tuple:
+        feature = f"pages={self.pages};form={','.join(sorted(self.forms))};rows={self.rows};sum={self.total};min={self.low};max={self.high};steps={self.steps}"
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), feature
 
-_COLUMNS = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+
+_COLUMNS = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+
+
+def _gathered(page_rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Row and what was gathered from its pages, for rows of pages of one file after the other."""
+    for row, own in itertools.groupby((p for b in page_rows for p in b.to_pylist()), key=lambda p: p["row"]):
+        found = _Gathered()
+        for p in own:
+            if p["error"]:
+                raise ValueError(p["error"])
+            found.add(p)
+        yield row, found.columns()
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Per row: the text stored as TIFF, its pages read back, and digests and features of what was read."""
+    """Per row: the text stored as TIFF, its pages read back as rows, and digests and features gathered from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            given = [t or "" for t in b.column("text").to_pylist()]
-            done = {t: _row(t) for t in dict.fromkeys(given)}
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([done[t][i] for t in given], kind) for i, (_, kind) in enumerate(_COLUMNS))], ["doc_id", *(n for n, _ in _COLUMNS)])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+            given = b.column("text").to_pylist()
+            first = {t or "": i for i, t in reversed(list(enumerate(given)))}
+            stored = next(_stored(iter([b.take(pa.array(sorted(first.values())))])))  # each text once
+            media = dict(zip(stored.column("row").to_pylist(), stored.column("media").to_pylist(), strict=True))
+            read_back = dict(_gathered(_page_rows(iter([stored]))))
+            rows, number = [], b.column("row").to_pylist()
+            for i, t in enumerate(given):
+                k = number[first[t or ""]]
+                size, sha, tail, feature = read_back[k]
+                rows.append((b.column("doc_id")[i].as_py(), len((t or "").encode()), size, sha, tail, len(media[k]), hashlib.sha256(media[k]).hexdigest(), feature))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, (_, kind) in enumerate(_COLUMNS)], [n for n, _ in _COLUMNS])
+
+    return _given(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
