@@ -1,5 +1,6 @@
 import random
 import re
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -72,6 +73,28 @@ def test_other_shingles_and_thresholds(spark, rows):
     assert result(q.near_duplicates(rows(given, "node"), words=5, percent=80)) == brute(given, 5, 80)
 
 
+def test_every_link_is_counted(spark, rows):
+    rnd = random.Random(7)
+    given = list(enumerate(t for n, w, e in ((30, 100, 5), (10, 20, 1), (4, 50, 0)) for t in family(rnd, n, w, e)))
+    sets = [sets_of(t) for _, t in given]
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
+    assert {r.doc_id: r.links for r in q.link_counts(rows(given, "node")).collect()} == want
+
+
+def test_sets_that_share_a_digest_are_told_apart(spark, rows):
+    whole = q.digests
+    rnd = random.Random(8)
+    given = list(enumerate(t for n, w, e in ((12, 100, 3), (6, 20, 1), (4, 50, 0)) for t in family(rnd, n, w, e)))
+    with mock.patch.object(q, "digests", lambda s: (whole(s)[0] % 3, whole(s)[1])):
+        # the workers' module isn't patched, so the parts that run there are called here
+        assert q.node_of(np.arange(5, dtype=np.uint64), frozenset({0, 1, 2})) == whole(np.arange(5, dtype=np.uint64))[1]
+    members = spark.createDataFrame([(i, 1, i % 3, i) for i in range(9)] + [(9, 1, 7, 1), (10, 1, 7, 1)], "doc_id bigint, n bigint, node bigint, second bigint")
+    assert q.shared_digests(members) == {0, 1, 2}
+    with mock.patch.object(q, "shared_digests", lambda members: frozenset(r.node for r in members.filter("node is not null").collect())):
+        assert result(q.near_duplicates(rows(given, "node"))) == brute(given)  # every set goes by its second digest
+
+
 def test_odd_rows(spark, rows):
     given = [*ODD, (30, "Word"), (31, "one two three four five"), (32, "ONE two\nthree four  five"), (33, "one two three four five six"), (6, "another text of the same id as six"), (None, "one two three four five")]
     assert result(q.near_duplicates(rows(given, "node"))) == brute(given)

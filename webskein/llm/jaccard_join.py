@@ -8,17 +8,22 @@ classes of rare tokens are indexed token by token (k = 1), frequent classes by p
 which are formed within sub-classes so that their number stays in proportion to the set. Sets are compared within
 bands of size; one near a band's lower end is indexed in the band below as well. Nodes that share an index entry are
 candidates and are verified on their whole sets; none is left out. First each node is verified with the smallest node
-that it shares an entry with, then neighbours by size under each entry; candidates that are connected by then need no
-further check, all others get one. Pairs are verified in blocks of nodes of one family, so that large families need
-neither a row nor a copy of the texts for each pair.
+under each of its entries and with its neighbours by size; candidates that are connected by then need no further check,
+all others get one. Pairs are verified in blocks of nodes of one family, so that large families need neither a row nor a
+copy of the texts for each pair. The links that result connect whatever is linked; with connecting=False every linked
+pair of nodes is given, and `link_counts` has each document's number of links.
+
+A node is known by a 64-bit digest of its set; a second digest of each set is compared as well, and where two sets share
+the first, both go by the second (so identity has 128 bits). Which digests are shared is found by an aggregation; at
+10**10 sets about three are expected.
 
 The class of a token only steers the cost: whichever tokens count as frequent, all links are found. That set is broadcast
-and has at most FREQUENT_TOKENS members (the count from which a token is frequent rises until it fits).
+and has at most FREQUENT_TOKENS members (16 MB; the count from which a token is frequent rises until it fits).
 
 Null or wordless texts have empty sets and are linked with nothing. Texts with fewer words than a shingle have the whole
 word sequence as their only shingle. Rows with a null doc_id aren't linked and get a null component. Rows that repeat a
-doc_id are linked by it. Columns of other names aren't read. Sets are compared by 64-bit hashes. An empty table gives an
-empty result.
+doc_id are linked by it. Columns of other names aren't read. Shingles are compared by 64-bit hashes. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -46,12 +51,14 @@ SUBCLASS = 16
 SMALL = 32
 #: Bytes of text that a task gathers before it hands on its index entries.
 FLUSH = 8 << 20
-#: Rows of wanted texts up to which they are broadcast to the scan of the documents, and of members that meet one pivot in a task.
-BROADCAST_ROWS, MEMBERS = 1_000_000, 2000
-#: Parts that the copies of one set are dealt to when they get their component.
-SALTS = 8
-#: Nodes of one family that lie in one block.
-BLOCK_NODES = 256
+#: Rows of wanted texts (ids and blocks, about 64 bytes each when broadcast) up to which they are broadcast to the scan of the documents: 16 MB.
+BROADCAST_ROWS = 1 << 18
+#: Parts that the rows of a hot family, and the copies of one set, are dealt to.
+SALTS, COPY_SALTS = 64, 8
+#: Nodes of one family that lie in one block, and shingles of them.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
+#: Shingles and index entries that a bucket has on average.
+BUCKET_TOKENS = 2_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -79,9 +86,16 @@ def shingle_sets(docs: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.empty(0, dtype=np.uint64)
 
 
-def digest(tokens: np.ndarray) -> int:
-    """A signed 64-bit digest of a set; equal sets, equal digests."""
-    return int((mix(tokens ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) ^ np.uint64(len(tokens))).astype(np.int64))
+def digests(tokens: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit digests of a set; equal sets, equal digests."""
+    first, second = (int((mix(tokens ^ np.uint64(k)).sum(dtype=np.uint64) ^ np.uint64(len(tokens))).astype(np.int64)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+    return first, second
+
+
+def node_of(tokens: np.ndarray, shared: frozenset[int]) -> int:
+    """The node of a set: its first digest, or its second where different sets share the first."""
+    first, second = digests(tokens)
+    return second if first in shared else first
 
 
 def slack(n: int, percent: int) -> int:
@@ -130,9 +144,9 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int) -> np.ndarray
     return np.concatenate(out)
 
 
-def _bucket_bits(df: DataFrame) -> int:
-    """Bits of the bucket number: eight buckets a shuffle partition, 64 at least."""
-    return max(6, math.ceil(math.log2(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+def _bucket_bits(df: DataFrame, shingles: int) -> int:
+    """Bits of the bucket number: eight buckets a shuffle partition at least, and as many as keep a bucket's shingles bounded on average."""
+    return min(32, max(6, math.ceil(math.log2(max(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles / BUCKET_TOKENS)))))
 
 
 def _split(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,17 +165,23 @@ def _rows(df: DataFrame) -> DataFrame:
 
 
 def nodes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (the set's size) and node (its digest; null for empty sets)."""
+    """doc_id, n (the set's size), and both digests of the set, node and second (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [(len(s), digest(s) if len(s) else None) for s in shingle_sets(texts(b.column("text")), words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.int64())], ["doc_id", "n", "node"])
+            found = [(len(s), *(digests(s) if len(s) else (None, None))) for s in shingle_sets(texts(b.column("text")), words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], ["doc_id", "n", "node", "second"])
+
+    return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint, second bigint")
 
-    return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint")
 
+def shared_digests(members: DataFrame) -> frozenset[int]:
+    """First digests that different sets share: none is expected below 10**9 sets, three at 10**10."""
+    found = members.filter("node is not null").groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("z")).filter("a != z")
+    return frozenset(r.node for r in found.select("node").collect())
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int, shared: frozenset[int]) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Non-empty distinct sets with their nodes, gathered from about FLUSH bytes of text each."""
     seen: set[int] = set()
     out: list[tuple[int, np.ndarray]] = []
@@ -169,7 +189,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[li
     for b in slices(batches):
         docs = texts(b.column("text"))
         for d, s in zip(docs, shingle_sets(docs, words), strict=True):
-            if len(s) and (node := digest(s)) not in seen:
+            if len(s) and (node := node_of(s, shared)) not in seen:
                 seen.add(node)
                 out.append((node, s))
                 size += len(d)
@@ -180,12 +200,11 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[li
         yield out
 
 
-def frequent_tokens(docs: DataFrame, words: int, frequent: int) -> DataFrame:
+def frequent_tokens(docs: DataFrame, words: int, frequent: int, bits: int) -> DataFrame:
     """token (its top bits) and count of every token that more than `frequent` sets have, counted over all documents."""
-    bits = _bucket_bits(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _distinct_sets(batches, words):
+        for sets in _distinct_sets(batches, words, frozenset()):
             values, counts = np.unique(np.concatenate([s for _, s in sets]), return_counts=True)
             del sets
             bucket, edge = _split(values, bits)
@@ -233,16 +252,14 @@ class Classes:
         return out
 
 
-def entries(docs: DataFrame, classes: Classes, words: int, percent: int) -> DataFrame:
-    """The index entries that two or more nodes share: signature, node, n, and pivot (the entry's smallest node)."""
-    bits = classes.bits
-    held = docs.sparkSession.sparkContext.broadcast((classes.tokens, classes.kind, bits))
+def entries(docs: DataFrame, held, bits: int, words: int, percent: int, shared_: frozenset[int]) -> DataFrame:
+    """The index entries that two or more nodes share: signature, node, n, and pivot (the entry's smallest node). held: a broadcast of the classes' tokens and kinds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, kind, bits = held.value
+        tokens, kind = held.value
         look = Classes(tokens, np.zeros(len(tokens)), bits, 0)
         look.kind = kind
-        for sets in _distinct_sets(batches, words):
+        for sets in _distinct_sets(batches, words, shared_):
             found = [signatures(s, look.of(s), percent) for _, s in sets]
             sizes = np.array([len(f) for f in found])
             node = np.repeat(np.array([n for n, _ in sets], dtype=np.int64), sizes)
@@ -272,68 +289,35 @@ def entries(docs: DataFrame, classes: Classes, words: int, percent: int) -> Data
     return _rows(docs).filter("doc_id is not null").mapInArrow(emit, "bucket bigint, low binary, node binary, n binary").groupBy("bucket").applyInArrow(shared, "signature bigint, node bigint, n bigint, pivot bigint")
 
 
-def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. Members meet their a in groups of at most about MEMBERS."""
-    spark = docs.sparkSession
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    leads = salts.select(F.col("a").alias("node"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    # only large groups are looked up, so the table is small and their rows aren't brought together
-    others = pairs.join(salts.filter("salts > 1"), "a", "left").select(F.col("b").alias("node"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("bigint"))).alias("salt"), F.lit(1).alias("role"))
-    reps = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted, path = written(leads.unionByName(others).join(reps, "node"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    met = _rows(docs).join(wanted, "doc_id").select("lead", "salt", "role", "node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own, own_size = None, None, 0
-        for b in slices(batches):
-            given = texts(b.column("text"))
-            leads_, roles, nodes_ = (b.column(c).to_pylist() for c in ("lead", "role", "node"))
-            found: list[tuple[int, int]] = []
-            for s, a, role, node in zip(shingle_sets(given, words), leads_, roles, nodes_, strict=True):
-                if digest(s) != node:
-                    continue  # another text under the same id
-                if role == 0:
-                    lead, own, own_size = a, s, len(s)
-                elif lead == a:
-                    small, large = sorted((own_size, len(s)))
-                    if 100 * small >= percent * large:
-                        at = np.minimum(np.searchsorted(own, s), own_size - 1)
-                        both = int(np.count_nonzero(own[at] == s))
-                        if 100 * both >= percent * (own_size + len(s) - both):
-                            found.append((a, node))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    out = met.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role").mapInArrow(run, "a bigint, b bigint")
-    out = checkpointed(out)
-    delete(spark, path)
-    return out
-
-
-def placed(live: DataFrame, star: DataFrame, linked: DataFrame) -> DataFrame:
-    """node, part (what is known to be one component) and block of every node of the entries.
+def blocked(live: DataFrame) -> DataFrame:
+    """The entries (signature, node, n) with the node's block.
 
-    Nodes with the same smallest partner lie in the same block, or in several where they are more than BLOCK_NODES.
+    Nodes with the same smallest partner lie in the same block, or in several where they are many or large.
     """
-    known = live.select("node").distinct().join(star.select(F.col("b").alias("node"), F.col("a").alias("pivot")), "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
-    count = known.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
-    # only families of several blocks are looked up, so the table is small and the family's rows aren't brought together
-    blocked = known.join(count.filter("blocks > 1"), "pivot", "left").select("node", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("bigint")))).alias("block"))
-    return blocked.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "block")
+    known = live.groupBy("node").agg(F.min("pivot").alias("pivot"), F.first("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS).cast("bigint")))
+    count = known.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    # only families of several blocks are looked up, by salt, so that a family's rows aren't brought together
+    large = count.filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    placed = known.join(large, ["pivot", "salt"], "left").select("node", F.xxhash64("pivot", F.pmod(F.xxhash64(F.lit("block"), "node"), F.coalesce("blocks", F.lit(1).cast("bigint")))).alias("block"))
+    return live.select("signature", "node", "n").join(placed, "node")
 
 
 def _candidates(signature: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs in different parts under equal signatures (rows sorted by signature and n): of neighbours, or of all."""
+    """Places of pairs in different parts under equal signatures (rows sorted by signature and n): of neighbours and each signature's smallest node, or of all."""
     near = 8 if every else 1
     for d in range(1, near + 1):
         at = np.flatnonzero((signature[d:] == signature[:-d]) & (part[d:] != part[:-d]) & (100 * n[:-d] >= percent * n[d:]))
         if len(at):
             yield at, at + d
+    edge = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+    size = np.diff(np.append(edge, len(signature)))
     if not every:
+        least = np.flatnonzero(node == np.repeat(np.minimum.reduceat(node, edge), size))  # one a signature: its nodes are distinct
+        least = np.repeat(least, size)
+        at = np.flatnonzero((part != part[least]) & (100 * np.minimum(n, n[least]) >= percent * np.maximum(n, n[least])))
+        if len(at):
+            yield least[at], at
         return
-    edge = np.flatnonzero(np.diff(signature, prepend=signature[0] - 1))
-    size = np.diff(np.append(edge, len(signature)))
     for a, g in zip(edge[size > near + 1], size[size > near + 1], strict=True):
         p, s = part[a : a + g], n[a : a + g]
         if (p == p[0]).all():
@@ -355,9 +339,8 @@ def _distinct(ba: np.ndarray, bb: np.ndarray, a: np.ndarray, b: np.ndarray) -> l
     return [x[new] for x in (ba, bb, a, b)]
 
 
-def candidate_blocks(live: DataFrame, places: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate pairs that lie in different parts, as one row per pair of blocks: first and second nodes, and all nodes."""
-    known = live.join(places, "node").select("signature", "node", "n", "part", "block")
+def candidate_blocks(known: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Candidate pairs that lie in different parts, as one row per pair of blocks: first and second nodes, and all nodes. known: signature, node, n, part, block."""
     names = ("signature", "node", "n", "part", "block")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,16 +383,14 @@ def candidate_blocks(live: DataFrame, places: DataFrame, percent: int, every: bo
         nodes_ = np.unique(np.concatenate([a, b]))
         return pa.table({"ba": pa.array([key[0].as_py()], pa.int64()), "bb": pa.array([key[1].as_py()], pa.int64()), "a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary()), "nodes": pa.array([nodes_], pa.list_(pa.int64()))})
 
-    dealt = known.repartition("signature").sortWithinPartitions("signature", "n")
+    dealt = known.select(*names).repartition("signature").sortWithinPartitions("signature", "n")
     return dealt.mapInArrow(emit, "ba bigint, bb bigint, a binary, b binary").groupBy("ba", "bb").applyInArrow(merge, "ba bigint, bb bigint, a binary, b binary, nodes array<bigint>")
 
 
-def verified_blocks(blocks: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between the nodes of the blocks' pairs; pairs that links of the same block already connect are passed over."""
-    spark = docs.sparkSession
+def verified_blocks(blocks: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, shared: frozenset[int], connecting: bool) -> DataFrame:
+    """Links (a, b) between the nodes of the blocks' pairs. If connecting, pairs that links of the same block already connect are passed over."""
     blocks, blocks_path = written(blocks, "blocks")
-    reps = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted, path = written(blocks.select("ba", "bb", F.explode("nodes").alias("node")).join(reps, "node"), "wanted")
+    wanted, path = written(blocks.select("ba", "bb", F.explode("nodes").alias("node")).join(reps.select("node", "doc_id"), "node"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     met = _rows(docs).join(wanted, "doc_id").select("ba", "bb", "node", "text")
@@ -417,7 +398,7 @@ def verified_blocks(blocks: DataFrame, members: DataFrame, docs: DataFrame, word
     def run(key: tuple, pairs: pa.Table, given: pa.Table) -> pa.Table:
         sets = {}
         for node, s in zip(given.column("node").to_pylist(), shingle_sets(texts(given.column("text")), words), strict=True):
-            if digest(s) == node:  # else another text under the same id
+            if node_of(s, shared) == node:  # else another text under the same id
                 sets[node] = s
         up = {node: node for node in sets}
 
@@ -429,19 +410,19 @@ def verified_blocks(blocks: DataFrame, members: DataFrame, docs: DataFrame, word
         found = []
         for first, second in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
             for a, b in zip(np.frombuffer(first, dtype="<i8").tolist(), np.frombuffer(second, dtype="<i8").tolist(), strict=True):
-                if a not in sets or b not in sets or (x := top(a)) == (y := top(b)):
+                if a not in sets or b not in sets or connecting and top(a) == top(b):
                     continue
                 s, t = sets[a], sets[b]
                 both = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     found.append((a, b))
-                    up[x] = y
+                    up[top(a)] = top(b)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     out = blocks.select("ba", "bb", "a", "b").groupBy("ba", "bb").cogroup(met.groupBy("ba", "bb")).applyInArrow(run, "a bigint, b bigint")
-    out = checkpointed(out)
+    out, _ = written(out, "links")
     for p in (blocks_path, path):
-        delete(spark, p)
+        delete(docs.sparkSession, p)
     return out
 
 
@@ -451,9 +432,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # dealt anew, so that adaptive execution can split the rows of a star's centre in the join
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("u")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         e = checkpointed(small)
         now = e.select(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -464,48 +446,70 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def links(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, very_frequent: int = VERY_FREQUENT, frequent_tokens_most: int = FREQUENT_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """The documents' nodes (doc_id, n, node) and verified links (a, b) between nodes that connect whatever is linked."""
+def _classes(docs: DataFrame, words: int, bits: int, frequent: int, very_frequent: int, most: int) -> Classes:
+    """The classes of the frequent tokens, of which at most `most` come to the driver."""
+    counted, path = written(frequent_tokens(docs, words, frequent, bits), "frequent")
+    least = frequent
+    steps = {int(r.step): r.n for r in counted.groupBy(F.floor(F.log2("count")).alias("step")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
+    if sum(steps.values()) > most:
+        step = next(s for s in sorted(steps) if sum(n for k, n in steps.items() if k >= s) <= most or s == max(steps))
+        least = max(least, (1 << step) - 1)
+    known = counted.filter(F.col("count") > least).toArrow()
+    delete(docs.sparkSession, path)
+    return Classes(known.column("token").to_numpy(), known.column("count").to_numpy(), bits, max(very_frequent, least))
+
+
+def links(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, very_frequent: int = VERY_FREQUENT, frequent_tokens_most: int = FREQUENT_TOKENS, connecting: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' nodes (doc_id, n, node), the nodes (node, n, doc_id of the smallest, copies) and verified links (a, b) between nodes: those that connect whatever is linked, or all."""
     if not 1 <= words <= 8:
         raise ValueError("shingles have 1 to 8 words")
     spark = docs.sparkSession
     members, _ = written(nodes(docs, words), "nodes")
-    counted, counts_path = written(frequent_tokens(docs, words, frequent), "frequent")
-    least = frequent
-    steps = {int(r.step): r.n for r in counted.groupBy(F.floor(F.log2("count")).alias("step")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
-    if sum(steps.values()) > frequent_tokens_most:
-        step = next(s for s in sorted(steps) if sum(n for k, n in steps.items() if k >= s) <= frequent_tokens_most or s == max(steps))
-        least = max(least, (1 << step) - 1)
-    known = counted.filter(F.col("count") > least).toPandas()
-    delete(spark, counts_path)
-    classes = Classes(known["token"].to_numpy(np.int64), known["count"].to_numpy(np.int64), _bucket_bits(docs), max(very_frequent, least))
-    live, live_path = written(entries(docs, classes, words, percent), "entries")
-    star = live.filter("node != pivot").groupBy("node").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    star, star_path = written(star, "star")
-    edges = verified(star, members, docs, words, percent)
-    for every in (False, True):  # neighbours first: what they connect needs no further pairs
-        places = placed(live, star, components(edges))
-        edges = edges.unionByName(verified_blocks(candidate_blocks(live, places, percent, every), members, docs, words, percent))
-    for path in (live_path, star_path):
-        delete(spark, path)
-    return members, edges
+    shared = shared_digests(members)
+    members = members.select("doc_id", "n", (F.when(F.col("node").isin(*shared), F.col("second")).otherwise(F.col("node")) if shared else F.col("node")).alias("node"))
+    reps, _ = written(members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "sets")
+    bits = _bucket_bits(docs, reps.agg(F.sum("n")).first()[0] or 0)
+    classes = _classes(docs, words, bits, frequent, very_frequent, frequent_tokens_most)
+    held = spark.sparkContext.broadcast((classes.tokens, classes.kind))
+    live, live_path = written(entries(docs, held, bits, words, percent, shared), "entries")
+    held.destroy()
+    known, known_path = written(blocked(live), "blocked")
+    delete(spark, live_path)
+    edges, alone = None, known.withColumn("part", F.col("node"))
+    if connecting:  # neighbours first: what they connect needs no further pairs
+        edges = verified_blocks(candidate_blocks(alone, percent, False), reps, docs, words, percent, shared, True)
+        alone = known.join(components(edges), "node", "left").withColumn("part", F.coalesce("root", "node"))
+    more = verified_blocks(candidate_blocks(alone, percent, True), reps, docs, words, percent, shared, connecting)
+    delete(spark, known_path)
+    return members, reps, edges.unionByName(more) if connecting else more
+
+
+def link_counts(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and links: how many other documents each document with an id is linked with, its copies included."""
+    members, reps, edges = links(docs, connecting=False, **options)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    others = both.join(reps.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    per = reps.join(others.withColumnRenamed("a", "node"), "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")).filter("links > 0")
+    return _by_node(members.filter("doc_id is not null"), per).select("doc_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _by_node(members: DataFrame, per: DataFrame) -> DataFrame:
+    """The members with their node's columns, if it has any; a node with very many copies is dealt out by salt."""
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPY_SALTS - 1).cast("bigint"))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS).cast("bigint"))).join(salted, ["node", "salt"], "left")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
-    members, edges = links(docs, **options)
+    members, reps, edges = links(docs, **options)
     known = members.filter("doc_id is not null and node is not null")
     repeated = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("doc_id", "a")
     same = known.join(repeated, "doc_id").select("a", F.col("node").alias("b")).filter("a != b").distinct()
-    per = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     # components of the nodes' smallest doc_ids, so that a root is the component's id and nothing is joined by it
     ids = edges.unionByName(same)
     for side in ("a", "b"):
-        ids = ids.join(per.select(F.col("node").alias(side), F.col("least").alias(f"{side}_id")), side)
-    roots = components(ids.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).withColumnRenamed("node", "least")
-    shared = per.join(roots, "least", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "least").alias("component"))
-    # a node with very many copies is dealt out by salt
-    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    placed_ = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("bigint"))).join(salted, ["node", "salt"], "left")
+        ids = ids.join(reps.select(F.col("node").alias(side), F.col("doc_id").alias(f"{side}_id")), side)
+    roots = components(ids.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select(F.col("node").alias("doc_id"), "root")
+    linked = reps.join(roots, "doc_id", "left").filter("copies > 1 or root is not null").select("node", F.coalesce("root", "doc_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return placed_.select("doc_id", F.col("n").alias("n_shingles"), component)
+    return _by_node(members, linked).select("doc_id", F.col("n").alias("n_shingles"), component)
