@@ -25,7 +25,7 @@ def test_each_stage_works_on_what_is_kept(spark):
     assert two.columns == columns and {r.doc_id for r in two.collect()} == {i for i in kept if scores[i] >= 0.5}
     three = duplicates(spark, two, DIR).cache()
     given = [(r.doc_id, r.text) for r in two.collect()]
-    assert three.columns == columns and {str(r.doc_id) for r in three.collect()} == {c for _, _, c in components(given)}
+    assert three.columns == columns and {str(r.doc_id) for r in three.collect()} == {c for _, _, c in components(given, 5, 80)}
     assert all(r == rows[r.doc_id] for r in three.collect())
     check([(r.doc_id, r.text) for r in three.collect()], last(spark, three, DIR).collect())
     for df in (docs, one, two, three):
@@ -65,6 +65,14 @@ def test_near_duplicates_share_80_percent_of_five_word_shingles(spark):
     assert {c for _, _, c in components(given)} == {"1", "2", "3", "4"}  # by the op4 query's values the second stays
 
 
+def test_unlike_texts_of_one_id_stay_and_like_ones_without_id_are_one(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    given = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (2, text("d")), (5, text("e")), (4, text("e"))]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in given], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, DIR).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (2, "d"), (4, "e")], key=str)
+
+
 def test_near_duplicate_stage_equals_brute_force_over_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     given = [(r.doc_id, r.text) for r in docs.collect()]

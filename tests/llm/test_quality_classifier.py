@@ -1,7 +1,11 @@
+import math
 import zlib
 from collections import Counter
+from unittest import mock
 
 import numpy as np
+import pytest
+import zstandard
 
 from webskein.llm import quality_classifier as q
 
@@ -41,3 +45,36 @@ def test_odd_rows(spark, rows):
     assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert {r.score for r in q.classify(rows(ODD, "score"), labels.limit(0)).collect()} == {0.5}
     assert q.classify(rows([], "score"), labels).count() == 0
+
+
+def test_scores_equal_a_plain_version(spark, rows):
+    good, bad = b"plain words of good prose, one after the other. " * 40, b"buy!! $$$ now >>> click " * 60
+    mean, scale, weights = np.linspace(0, 1, 8), np.linspace(1, 2, 8), np.linspace(-1, 1, 9)
+
+    def plain(text):
+        data, sizes = (text or "").encode(), []
+        for words in (good, bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[i : i + 4096])) for i in range(0, max(1, len(data)), 4096)))
+        g, b = sizes
+        n, d = len(data) + 32, (b - g) / (b + g)
+        x = [d, g / n, b / n, math.log(n) - 7, d * (math.log(n) - 7), abs(d), d * g / n, (g / n) ** 2]
+        z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, mean, scale)]
+        return 1 / (1 + math.exp(-(weights[0] + sum(w * v for w, v in zip(weights[1:], z)))))
+
+    got = q.score(rows(ODD, "score"), q.Model(good, bad, mean, scale, weights)).collect()
+    want = {}
+    for i, t in ODD:
+        want.setdefault(i, []).append(plain(t))
+    have = {}
+    for r in got:
+        have.setdefault(r.doc_id, []).append(r.score)
+    assert have.keys() == want.keys() and all(sorted(have[i]) == pytest.approx(sorted(want[i]), abs=1e-9) for i in want)
+
+
+def test_the_fit_s_bytes_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * 2000) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    with mock.patch.object(q, "SAMPLE_BYTES", 30_000), mock.patch.object(q, "fit", lambda good, bad, known: (good, bad, known)):
+        good, bad, known = q.learn(docs, labels)
+    assert good and bad and known and sum(map(len, good + bad)) + sum(len(t) for t, _ in known) <= 60_000

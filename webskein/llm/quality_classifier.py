@@ -3,7 +3,7 @@
 A text is compressed, block by block and whole, once with each dictionary. The normalised difference of the two sizes,
 with the sizes per byte, goes through a logistic curve that is fitted on labelled rows which the dictionaries haven't
 seen. The fit reads a bounded sample of labelled rows (DICTIONARY_ROWS for each class, CALIBRATION_ROWS more for both,
-texts of at most SAMPLE_CHARS characters); scoring reads every row and the whole text.
+texts of at most SAMPLE_CHARS characters, SAMPLE_BYTES of each class in all); scoring reads every row and the whole text.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out and never learnt from; labels, language, source and ids are no
 inputs of a score. Null texts count as empty. Empty texts have a score too; equal texts have equal scores. Labels that
@@ -23,11 +23,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import delete, slices, written
 
 DICTIONARY_ROWS = 3000
 CALIBRATION_ROWS = 4000
 SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 24 << 20
 DICTIONARY_BYTES = 112_640
 BLOCK = 4096
 LEVEL = 3
@@ -128,9 +129,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(ids, "id bigint, quality int"))  # bounded by `most`
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    found = text.join(small, F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    found, folder = written(text.join(small, F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")
     place = {i: k for k, (i, _) in enumerate(ids)}
-    rows = sorted(((place[r.doc_id], r.quality, r.text.encode()) for r in found.toLocalIterator()), key=lambda r: r[0])
+    sizes = sorted(((place[r.doc_id], r.doc_id, r.quality, r.size) for r in found.select("doc_id", "quality", F.octet_length("text").alias("size")).collect()))
+    used, taken = [0, 0], []
+    for _, i, q, size in sizes:
+        if used[q] + size <= SAMPLE_BYTES:
+            used[q] += size
+            taken.append((i,))
+    wanted = F.broadcast(spark.createDataFrame(taken, "doc_id bigint"))
+    rows = sorted(((place[r.doc_id], r.quality, r.text.encode()) for r in found.join(wanted, "doc_id").toLocalIterator()), key=lambda r: r[0])
+    delete(spark, folder)
     by = {q: list(dict.fromkeys(t for _, y, t in rows if y == q)) for q in (0, 1)}
     # the dictionaries take two thirds of a class at most, so that rows are left for the curve
     cut = {q: min(DICTIONARY_ROWS, -(-2 * len(v) // 3)) for q, v in by.items()}
