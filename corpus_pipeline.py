@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the shared folder and
 read again as the next stage's docs. All but the last return the columns of documents. A document that a stage rejects
-doesn't come back: of each near-duplicate group the row with the smallest doc_id stays (of repeated rows, one).
+doesn't come back: of each near-duplicate group the row with the smallest doc_id stays. Rows of one doc_id with unlike texts all stay.
 """
 
 from __future__ import annotations
@@ -35,12 +35,15 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group by WORDS and PERCENT; documents without an id stay, as they're linked with nothing."""
+    """One document of each near-duplicate group by WORDS and PERCENT: that with the smallest doc_id (null is largest).
+
+    Rows are told apart by their place, so unlike texts of one doc_id stay and like ones without a doc_id are one group.
+    """
     ship(spark)
-    groups = jaccard_join.near_duplicates(docs, words=WORDS, percent=PERCENT)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    placed = docs.withColumn("place", F.monotonically_increasing_id())
+    groups = jaccard_join.near_duplicates(placed.select(F.col("place").alias("doc_id"), "text"), words=WORDS, percent=PERCENT).select(F.col("doc_id").alias("place"), "component_id")
+    first = groups.join(placed.select("place", "doc_id"), "place").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"))
+    return placed.join(first.select(F.col("first.place").alias("place")), "place", "left_semi").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
