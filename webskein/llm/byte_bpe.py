@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A text is cut where the pre-tokenizer cuts in any case: around white space, and in long runs between a letter and a
-punctuation mark. The library encodes every distinct piece once, and a worker remembers the ids of short pieces (at most
+punctuation mark. The library encodes every distinct piece once (pieces of ASCII characters are pre-tokenized and mapped
+from bytes to characters here, and merged by its model), and a worker remembers the ids of short pieces (at most
 REMEMBERED of them), so a text's ids are joined from those of its pieces. What the pattern itself doesn't cut, such as
 millions of letters in a row, goes to the library as one piece, in memory in proportion to it (about 200 bytes a
 letter). Decoding joins the bytes of the ids by the byte table before any character is read; offsets follow from the
@@ -19,6 +20,7 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,8 @@ _SAFE = re.compile(rf"[A-Za-z](?= [A-Za-z])|[{_LETTER}](?=[{_MARK}])")
 _BEFORE_MARK = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}])")
 #: The pattern's cuts around plain white space; characters that some library may take for white space besides.
 _PIECE = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: The pre-tokenizer's pattern, for texts of ASCII characters only.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
@@ -69,6 +73,8 @@ class ByteBpe:
             self.bytes_of[i] = added[i].encode() if i in added else bytes(back[c] for c in token)
         self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.memo: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.characters = str.maketrans({chr(b): c for b, c in byte_characters().items() if b < 128})
 
     @staticmethod
     def cuts(text: str, size: int = CALL) -> Iterator[str]:
@@ -98,9 +104,15 @@ class ByteBpe:
         def flush() -> None:
             if len(self.memo) > REMEMBERED:
                 self.memo.clear()
-            new = list({p for _, ps in queue for p in ps if p not in self.memo})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+            new = [p for p in set().union(*(ps for _, ps in queue)) if p not in self.memo]
+            rest = []
+            for p in new:
+                if p.isascii():  # the library's merges alone, on the characters that stand for the bytes
+                    self.memo[p] = array("I", [t.id for w in _ASCII.findall(p) for t in self.merge(w.translate(self.characters))]).tobytes()
+                else:
+                    rest.append(p)
+            for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.memo[p] = array("I", e.ids).tobytes()
             for i, ps in queue:
                 out[i].append(b"".join(map(self.memo.__getitem__, ps)))
             for p in new:
@@ -109,9 +121,11 @@ class ByteBpe:
             queue.clear()
 
         for i, text in enumerate(texts):
-            whole = any(s in text for s in self.special)  # such a string may cut a run of white space
-            for part in [text] if whole else self.cuts(text):
-                queue.append((i, [part] if whole else self.pieces(part)))
+            if any(s in text for s in self.special):  # such a string may cut a run of white space
+                out[i].append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            for part in self.cuts(text):
+                queue.append((i, self.pieces(part)))
                 size += len(part)
                 if size >= CALL:
                     flush()
