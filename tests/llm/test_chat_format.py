@@ -58,3 +58,11 @@ def test_odd_rows(spark):
     whole = {r.conv_id: r.rendered for r in q.conversations_of(got).collect()}
     assert whole[2] == f"{q.OPENS}user\nsame{q.CLOSES}\n" and whole[3].count(q.OPENS) == 1 and 5 not in whole and 7 not in whole
     assert q.formatted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_turns_without_numbers_are_dealt_out(spark):
+    rows = [(1, None, "user", f"text {i}") for i in range(4000)] + [(1, 5, "user", f"more {i}") for i in range(1000)] + [(2, None, "user", "text 0")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    hashed = q.turns(table)
+    assert sorted(r.position for r in hashed.filter("conv_id = 1").collect()) == list(range(1, 5001))
+    assert {r.conv_id for r in q.maximal(hashed).collect()} == {1}  # the other one is its first turn

@@ -6,9 +6,10 @@ is a prefix hash inside a longer one is a snapshot of that one and goes. Of equa
 smallest conv_id stays. The turns of what is left are rendered.
 
 Turns are ordered by turn, then role, then text (null turns first); turns that are equal in all of them count once. Null
-roles and texts are empty strings. Rows without conv_id belong to no conversation and aren't rendered. Positions and
-hashes are summed in blocks of turn numbers, so a conversation with very many rows isn't gathered in one task; for that
-reason the result has a row per turn, whose segments, in order of position, make up the conversation. Marker strings in
+roles and texts are empty strings. Rows without conv_id belong to no conversation and aren't rendered. The turns are
+range-sorted once, and positions and hashes are summed within ranges and then over a conversation's ranges, so a
+conversation with very many rows, whatever their turn numbers, isn't gathered in one task; for that reason the result
+has a row per turn, whose segments, in order of position, make up the conversation. Marker strings in
 a text are broken by a space, so a text can't open or close a turn. Columns of other names aren't read. An empty table
 gives an empty result.
 """
@@ -18,16 +19,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers in a block.
-BLOCK = 128
+from .common import delete, folder_bytes, written
+
+#: Bytes of a range of turns on average.
+RANGE_BYTES = 32 << 20
 OPENS, CLOSES = "<|im_start|>", "<|im_end|>"
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, turn, role, text, position (from 1) and the prefix hashes x and y of every distinct turn."""
+    """conv_id, turn, role, text, position (from 1) and the prefix hashes x and y of every distinct turn, as a written table."""
+    spark = conversations.sparkSession
     given = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))).filter("conv_id is not null")
-    given = given.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    given = given.repartition("conv_id", "block").dropDuplicates(["conv_id", "block", "turn", "role", "text"])
+    single, folder = written(given.distinct(), "turns")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-folder_bytes(spark, folder) // RANGE_BYTES))
+    # written with its range's number, which two plans of the same ranges needn't agree on
+    given, dealt = written(single.repartitionByRange(ranges, "conv_id", "turn", "role", "text").withColumn("block", F.spark_partition_id()), "dealt")
+    delete(spark, folder)
     inside = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = given.groupBy("conv_id", "block").agg(F.count("*").alias("n")).select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -37,7 +44,10 @@ def turns(conversations: DataFrame) -> DataFrame:
     sums = sums.select("conv_id", "block", *(F.coalesce(F.expr(f"bit_xor({c})").over(earlier), F.lit(0)).alias(f"{c}0") for c in "xy"))
     running = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     hashed = placed.withColumn("rx", F.bit_xor("hx").over(running)).withColumn("ry", F.bit_xor("hy").over(running)).join(sums, ["conv_id", "block"])
-    return hashed.select("conv_id", "block", "turn", "role", "text", "position", F.col("rx").bitwiseXOR(F.col("x0")).alias("x"), F.col("ry").bitwiseXOR(F.col("y0")).alias("y"))
+    out = hashed.select("conv_id", "turn", "role", "text", "position", F.col("rx").bitwiseXOR(F.col("x0")).alias("x"), F.col("ry").bitwiseXOR(F.col("y0")).alias("y"))
+    out, _ = written(out, "hashed")
+    delete(spark, dealt)
+    return out
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
