@@ -37,6 +37,10 @@ from .common import scratch, written
 BLOCK_LINES = 1000
 #: Payloads of fewer bytes are always responses.
 LEAST_BYTES = 0
+#: A payload with more than this part of all rows is hot.
+HOT = 1000
+#: Records that a task looks up on average.
+LOOKUPS = 20_000
 #: Archive files that a task keeps open.
 OPEN_FILES = 32
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,7 +117,14 @@ def records(data: bytes) -> Iterator[dict]:
 
 
 def _place(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder)
+    """The file system of a folder, by the libraries that Python workers have: local and NFS paths, hdfs, s3 (also as s3a or s3n), gs and abfs."""
+    scheme = folder.partition(":")[0]
+    if scheme in ("s3a", "s3n"):
+        folder = "s3" + folder[3:]
+    try:
+        return pa.fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives can't be kept in {folder}: Python workers have no file system for {scheme}; set spark.checkpoint.dir to one that they have") from e
 
 
 def _task_name() -> str:
@@ -125,8 +136,14 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives; per page url_key, page_id, file, offset and length. The result is lazy: write it before it is used twice."""
     base = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     brief = base.select("row", "page_id", F.sha1(F.encode("html", "utf-8")).alias("sha1"), F.octet_length("html").alias("size"))
-    first = brief.filter(F.col("size") >= LEAST_BYTES).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("first"))
-    kinds = brief.join(first, "sha1", "left").select("row", (F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))).alias("revisit"), F.col("first.page_id").alias("refers_to"))
+    first, _ = written(brief.filter(F.col("size") >= LEAST_BYTES).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    hot = F.col("copies") > F.lit(pages.count() / HOT)
+    # payloads with more than a HOT-th of all rows, so fewer than HOT of them, are looked up by broadcast; others meet their rows by digest
+    common = F.broadcast(first.filter(hot).select("sha1", F.col("first").alias("common")))
+    rare = first.filter(~hot).select(F.col("sha1").alias("key"), F.col("first").alias("rare"))
+    looked_up = brief.join(common, "sha1", "left").withColumn("key", F.when(F.col("common").isNotNull(), F.col("row").cast("string")).otherwise(F.col("sha1")))
+    found = looked_up.join(rare, "key", "left").withColumn("first", F.coalesce("common", "rare"))
+    kinds = found.select("row", (F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))).alias("revisit"), F.col("first.page_id").alias("refers_to"))
     given = base.join(kinds, "row").select("row", "page_id", url_key(F.col("url")).alias("url_key"), "url", "html", "revisit", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +291,9 @@ def lookup(keys: DataFrame, folder: str, files: DataFrame) -> DataFrame:
         if rows:
             yield batch()
 
-    asked = keys.select("url_key", "page_id").distinct().repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    # an explicit number of ranges: the keys are narrow, but each costs a payload
+    ranges = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // LOOKUPS))
+    asked = keys.select("url_key", "page_id").distinct().repartitionByRange(ranges, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return asked.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
