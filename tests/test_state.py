@@ -160,6 +160,30 @@ def test_stores(spark, tmp_path):
     assert stores.summary(pages, pages.limit(2), 5).first().pages_per_second == 50 and stores.output_stats(pages).first().pending == 50
 
 
+@pytest.mark.parametrize("advisory,coalesce", [("64m", "true"), ("1m", "true"), ("64m", "false")])
+def test_wide_rows_are_numbered_without_gaps(spark, tmp_path, advisory, coalesce):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for key, value in zip(before, ("13", advisory, coalesce)):
+            spark.conf.set(key, value)
+        pages = spark.range(8000).select(F.concat(F.lit("u"), F.lpad(F.pmod("id", F.lit(4000)), 5, "0")).alias("url"), "id", *(F.sha2(F.concat("id", F.lit(str(k))), 512).alias(f"c{k}") for k in range(16)))
+        got = stores.numbered(pages, "url", 100).select("url", "place", "batch").collect()
+        assert sorted(r.place for r in got) == list(range(1, 8001)) and len({r.batch for r in got}) == 80
+        assert [r.url for r in sorted(got, key=lambda r: r.place)] == sorted(r.url for r in got)
+        stores.write_json_batches(pages.select("url", "c0"), str(tmp_path / "out"), "url")
+        assert spark.read.json(str(tmp_path / "out")).agg(F.count("*"), F.sum("count"), F.sum(F.size("pages"))).first()[:] == (80, 8000, 8000)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_several_changes_of_a_url_are_folded(spark):
+    store = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "url string, v int, t string")
+    changes = spark.createDataFrame([("a", 5, None, 3), ("a", 7, "first", 1), ("a", None, "second", 2)], "url string, v int, t string, at int")
+    assert {tuple(r) for r in stores.update(store, changes, order="at").collect()} == {("a", 5, "second"), ("b", 1, "y")}
+    assert stores.update(store, changes).count() == 2
+
+
 def test_search(spark):
     pages = spark.createDataFrame([("a", "cats", "", "dogs"), ("b", "", None, "cats cats dogs"), ("c", "birds", "cats", "")], "url string, title string, description string, text_content string")
     assert [r.url for r in search.text_search(pages, "Cats", key="url", fields=("title", "text_content")).collect()] == ["a", "b"]

@@ -49,10 +49,11 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     base = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     freq = base.select("key", F.explode(words(F.col("text"))).alias("word")).filter(~F.col("word").isin(*STOPWORDS)).groupBy("key", "word").agg(F.count("*").alias("n"))
     sents = base.select("key", F.posexplode(sentences(F.col("text"))).alias("idx", "sentence"))
-    tokens = sents.select("key", "idx", "sentence", F.explode_outer(words(F.col("sentence"))).alias("word"))
-    summed = tokens.join(freq, ["key", "word"], "left").groupBy("key", "idx", "sentence").agg(F.sum(F.coalesce("n", F.lit(0))).alias("total"), F.count("word").alias("words"))
+    # words meet their counts without their sentences, which are joined again by place
+    tokens = sents.select("key", "idx", F.explode(words(F.col("sentence"))).alias("word")).groupBy("key", "idx", "word").agg(F.count("*").alias("times"))
+    summed = tokens.join(freq, ["key", "word"], "left").groupBy("key", "idx").agg(F.sum(F.col("times") * F.coalesce("n", F.lit(0))).alias("total"), F.sum("times").alias("words"))
     mean = F.when(F.col("words") > 0, F.col("total") / F.col("words")).otherwise(0.0)
-    return summed.select(F.col("key").alias(key), "idx", "sentence", F.round(mean * F.when(F.col("idx") < 3, 1.2).otherwise(1.0), 6).alias("score"))
+    return sents.join(summed, ["key", "idx"], "left").select(F.col("key").alias(key), "idx", "sentence", F.round(mean * F.when(F.col("idx") < 3, 1.2).otherwise(1.0), 6).alias("score"))
 
 
 def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:

@@ -17,8 +17,9 @@ SCHEMA = "url string, url_hash string, priority int, depth int, parent_url strin
 
 
 def seeds(df: DataFrame) -> DataFrame:
-    """Entries of the start URLs, as written."""
-    return df.select("url", urls.url_hash(F.col("url")).alias("url_hash"), F.lit(CRITICAL).alias("priority"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.expr("row_number() over (order by url)").cast("bigint").alias("seq"))
+    """Entries of the start URLs, numbered in their order."""
+    placed = stores.numbered(df.select("url"), "url", 1)
+    return placed.select("url", urls.url_hash(F.col("url")).alias("url_hash"), F.lit(CRITICAL).alias("priority"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.col("place").cast("bigint").alias("seq"))
 
 
 def expanded(entries: DataFrame, edges: DataFrame, follow_external: bool = False) -> DataFrame:

@@ -217,11 +217,11 @@ def frontier_wave(spark, d):
     return found.join(start.select("url_hash"), "url_hash", "left_anti").select("url", "priority", "depth", "parent_url")
 
 
-@query("seen_antijoin", "SELECT DISTINCT url, md5(lower(trim(url))) IN (SELECT md5(lower(trim(url))) FROM pages WHERE url LIKE 'https:%') AS is_seen FROM pages")
+@query("seen_antijoin", f"WITH {_EDGES}, w AS (SELECT url FROM pages UNION SELECT dst FROM edges) SELECT url, md5(lower(trim(url))) IN (SELECT md5(lower(trim(url))) FROM pages) AS is_seen FROM w")
 def seen_antijoin(spark, d):
     pages = _t(spark, d, "pages")
-    seen = pages.filter("url LIKE 'https:%'").select(urls.url_hash(F.col("url")).alias("url_hash"))
-    return frontier.is_seen(pages.select("url").distinct(), seen)
+    wanted = pages.select("url").unionByName(markup.link_edges(pages).select(F.col("dst").alias("url"))).distinct()
+    return frontier.is_seen(wanted, pages.select(urls.url_hash(F.col("url")).alias("url_hash")))
 
 
 @query("failed_urls", f"WITH {_EDGES} SELECT md5(lower(dst)) AS url_hash, count(*) AS failures, count(*) < 3 AS retry FROM edges GROUP BY 1")

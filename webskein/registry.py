@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import crawl_queries  # noqa: F401  registers its queries
 from .queries import ORACLES
 from .queries import QUERIES as _QUERIES
 from .session import ship

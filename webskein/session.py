@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -42,10 +43,16 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or the one given by setCheckpointDir. Where both are unset, a local master gets one of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    given = spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir isn't set: executors of {master} need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="webskein-")

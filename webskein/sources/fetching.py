@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import markup, urls
 
 # Request profiles (user agent, accept-language, accept-encoding, platform).
-CHROME, LANGUAGE, ENCODING = "Chrome/121.0.0.0 Safari/537.36", "en-US,en;q=0.9", "gzip, deflate, br"
 PROFILES = (
-    (f"Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) {CHROME}", LANGUAGE, ENCODING, "Windows"),
-    (f"Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) {CHROME}", LANGUAGE, ENCODING, "macOS"),
-    (f"Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) {CHROME}", LANGUAGE, ENCODING, "Linux"),
-    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:122.0) Gecko/20100101 Firefox/122.0", "en-US,en;q=0.5", ENCODING, "Windows"),
-    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2.1 Safari/605.1.15", LANGUAGE, ENCODING, "macOS"),
-    (f"Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) {CHROME} Edg/121.0.0.0", LANGUAGE, ENCODING, "Windows"),
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/121.0.0.0 Safari/537.36", "en-US,en;q=0.9", "gzip, deflate, br", "Windows"),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/121.0.0.0 Safari/537.36", "en-US,en;q=0.9", "gzip, deflate, br", "macOS"),
+    ("Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/121.0.0.0 Safari/537.36", "en-US,en;q=0.9", "gzip, deflate, br", "Linux"),
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:122.0) Gecko/20100101 Firefox/122.0", "en-US,en;q=0.5", "gzip, deflate, br", "Windows"),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2.1 Safari/605.1.15", "en-US,en;q=0.9", "gzip, deflate, br", "macOS"),
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/121.0.0.0 Safari/537.36 Edg/121.0.0.0", "en-US,en;q=0.9", "gzip, deflate, br", "Windows"),
 )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import checkpointed
 
 BATCH = 100
 
@@ -28,11 +29,15 @@ def upsert(store: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return both.filter("url is not null and url <> ''").withColumn("place", F.row_number().over(last)).filter("place = 1").drop("place", "newer")
 
 
-def update(store: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
-    """The table after partial updates by URL: what a change gives (not null) replaces what was; URLs that the store lacks change nothing."""
-    given = [c for c in changes.columns if c != "url"]
-    renamed = changes.select("url", F.lit(True).alias("changed"), *(F.col(c).alias(f"new_{c}") for c in given))
-    joined = store.join(renamed, "url", "left")
+def update(store: DataFrame, changes: DataFrame, now: Column | None = None, order: str | None = None) -> DataFrame:
+    """The table after partial updates by URL: what a change gives (not null) replaces what was; URLs that the store lacks change nothing.
+
+    Of several changes of a URL the last one (by the changes' column `order`, else any) that gives a value counts.
+    """
+    given = [c for c in changes.columns if c not in ("url", order)]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.first(c, ignorenulls=True)
+    folded = changes.groupBy("url").agg(F.lit(True).alias("changed"), *(last(c).alias(f"new_{c}") for c in given))
+    joined = store.join(folded, "url", "left")
     out = joined.select(*(F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in given else F.col(c) for c in store.columns), "changed")
     if "updated_at" in store.columns and now is not None:
         out = out.withColumn("updated_at", F.when(F.col("changed"), now).otherwise(F.col("updated_at")))
@@ -45,13 +50,20 @@ def json_batches(pages: DataFrame, order: str, size: int = BATCH) -> DataFrame:
 
 
 def numbered(pages: DataFrame, order: str, size: int = BATCH) -> DataFrame:
-    """Pages with batch and place (from 1), by the ranges' row counts (a row per range is joined back)."""
-    dealt = pages.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    placed = dealt.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("place", F.col("inside") + F.col("before"))
-    return placed.withColumn("batch", (F.floor((F.col("place") - 1) / size) + 1).cast("int")).drop("part", "inside", "before")
+    """Pages with batch and place (from 1), by the ranges' row counts (a row per range is joined back).
+
+    The range-sorted rows are checkpointed with their range's number: counts and rows come from the same ranges, however
+    wide the rows are and however partitions are coalesced. Rows of equal order are numbered as they lie in the checkpoint.
+    """
+    ranges = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ("_part", "_row", "_inside", "_before")
+    dealt = checkpointed(pages.repartitionByRange(ranges, order).withColumn(own[0], F.spark_partition_id()).withColumn(own[1], F.monotonically_increasing_id()))
+    counts = dealt.groupBy(own[0]).agg(F.count("*").alias("n"))
+    before = counts.select(own[0], F.coalesce(F.sum("n").over(Window.orderBy(own[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(own[3]))
+    inside = F.row_number().over(Window.partitionBy(own[0]).orderBy(order, own[1]))
+    known = F.coalesce(own[3], F.raise_error(F.lit("a range has no count")).cast("bigint"))
+    placed = dealt.withColumn(own[2], inside).join(F.broadcast(before), own[0], "left").withColumn("place", F.col(own[2]) + known)
+    return placed.withColumn("batch", (F.floor((F.col("place") - 1) / size) + 1).cast("int")).drop(*own)
 
 
 def write_json_batches(pages: DataFrame, folder: str, order: str, size: int = BATCH, now: str = "") -> None:
