@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A text is cut where the pre-tokenizer cuts in any case: around white space, and in long runs between a letter and a
-punctuation mark. The library encodes every distinct piece once (pieces of ASCII characters are pre-tokenized and mapped
+punctuation mark. The library encodes every distinct piece once (pieces of Latin characters are pre-tokenized and mapped
 from bytes to characters here, and merged by its model), and a worker remembers the ids of short pieces (at most
 REMEMBERED of them), so a text's ids are joined from those of its pieces. What the pattern itself doesn't cut, such as
 millions of letters in a row, goes to the library as one piece, in memory in proportion to it (about 200 bytes a
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from array import array
@@ -34,7 +35,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters that are given to the library in one call.
 CALL = 1 << 19
 #: Pieces that a worker remembers, and their longest.
-REMEMBERED, SHORT = 200_000, 64
+REMEMBERED, SHORT = 400_000, 64
 #: Runs without white space that are longer are cut before punctuation.
 LONG = 2048
 _LETTER = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
@@ -44,8 +45,9 @@ _SAFE = re.compile(rf"[A-Za-z](?= [A-Za-z])|[{_LETTER}](?=[{_MARK}])")
 _BEFORE_MARK = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}])")
 #: The pattern's cuts around plain white space; characters that some library may take for white space besides.
 _PIECE = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-#: The pre-tokenizer's pattern, for texts of ASCII characters only.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
+#: The pre-tokenizer's pattern, for texts of Latin characters (to U+024F) without other white space.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{n}]+| ?[^\t-\r {l}{n}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+".format(l="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", n="0-9\xb2\xb3\xb9\xbc-\xbe"))
+_BEYOND = re.compile("[^\x00-ɏ]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
@@ -74,7 +76,8 @@ class ByteBpe:
         self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.memo: dict[str, bytes] = {}
         self.merge = self.tokenizer.model.tokenize
-        self.characters = str.maketrans({chr(b): c for b, c in byte_characters().items() if b < 128})
+        stands = byte_characters()
+        self.characters = str.maketrans({chr(i): "".join(stands[b] for b in chr(i).encode()) for i in range(0x250)})
 
     @staticmethod
     def cuts(text: str, size: int = CALL) -> Iterator[str]:
@@ -101,23 +104,34 @@ class ByteBpe:
         queue: list[tuple[int, list[str]]] = []
         size = 0
 
+        def merged(word: str) -> bytes:
+            """The ids of a match of the pattern: the library's merges on the characters that stand for the bytes."""
+            return array("I", [t.id for t in self.merge(word.translate(self.characters))]).tobytes()
+
         def flush() -> None:
+            long: list[str] = []
             if len(self.memo) > REMEMBERED:
                 self.memo.clear()
             new = [p for p in set().union(*(ps for _, ps in queue)) if p not in self.memo]
             rest = []
             for p in new:
-                if p.isascii():  # the library's merges alone, on the characters that stand for the bytes
-                    self.memo[p] = array("I", [t.id for w in _ASCII.findall(p) for t in self.merge(w.translate(self.characters))]).tobytes()
-                else:
+                if len(p) > LONG or not p.isascii() and _BEYOND.search(p) or _OTHER_SPACE.search(p):
                     rest.append(p)
+                elif len(words := _LATIN.findall(p)) == 1:
+                    self.memo[p] = merged(p)
+                else:
+                    for w in words:
+                        if w not in self.memo:
+                            self.memo[w] = merged(w)
+                            if len(w) > SHORT:
+                                long.append(w)
+                    self.memo[p] = b"".join(map(self.memo.__getitem__, words))
             for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.memo[p] = array("I", e.ids).tobytes()
             for i, ps in queue:
                 out[i].append(b"".join(map(self.memo.__getitem__, ps)))
-            for p in new:
-                if len(p) > SHORT:
-                    del self.memo[p]
+            for p in itertools.chain(long, (p for p in new if len(p) > SHORT)):
+                self.memo.pop(p, None)
             queue.clear()
 
         for i, text in enumerate(texts):
