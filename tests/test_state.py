@@ -75,7 +75,8 @@ def test_leaders_are_no_components(spark):
     assert {r.fp: r.unique for r in dedup.leaders(nodes, edges).collect()} == {1: True, 2: False, 3: True}
 
 
-def test_bands_find_every_pair(spark):
+@pytest.mark.parametrize("blocks", [None, 10, 11, 12, 13, 14])
+def test_blocks_find_every_pair(spark, blocks):
     rnd = random.Random(2)
     prints = []
     for _ in range(60):
@@ -85,9 +86,16 @@ def test_bands_find_every_pair(spark):
             b ^= 1 << k
         prints += [a, b]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = {(r.fp_a, r.fp_b) for r in dedup.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()}
+    given = spark.createDataFrame([(p,) for p in [*signed, None]], "fp bigint")
+    got = [(r.fp_a, r.fp_b) for r in dedup.near_pairs(given, blocks=blocks).collect()]
     want = {(x, y) for x in set(signed) for y in set(signed) if x < y and bin((x ^ y) & (1 << 64) - 1).count("1") <= 9}
-    assert got == want
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_more_prints_get_longer_keys():
+    chosen = [dedup.blocks_for(10**k) for k in range(1, 10)]
+    assert chosen == sorted(chosen) and chosen[0] == 10 and chosen[-1] == 14
+    assert len(dedup.masks(12)) == 220
 
 
 def test_delays(spark):

@@ -1,13 +1,17 @@
 """Duplicates by arrival order: exact by content hash, near by SimHash distance to what was unique before.
 
 A document is unique if no earlier unique one is within DISTANCE bits. That isn't a connected component: what is near a
-duplicate only is unique. Candidates come from an exact split of the fingerprint in five bands: within nine bits, one
-band differs in one bit at most, so each band is joined on its value and its one-bit neighbours.
+duplicate only is unique. Candidates come from an exact split of the fingerprint: of b blocks, nine differing bits leave
+b - 9 equal at least, so fingerprints are joined on every choice of b - 9 blocks. More blocks make longer keys, which
+meet by chance less often, but more of them; b is what costs least for the number of fingerprints. It changes no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -16,29 +20,43 @@ from ..session import checkpointed, spread
 #: Similarity of 0.85 of 64 bits.
 DISTANCE = 9
 SHORT = 50
-#: First bit and width of each band.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-
-
-def _bands(fp: Column, neighbours: bool) -> Column:
-    """Structs of band number and value; with neighbours also each value with one bit flipped."""
-    out = []
-    for i, (first, width) in enumerate(BANDS):
-        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        values = [value, *((value.bitwiseXOR(F.lit(1 << k).cast("bigint"))) for k in range(width))] if neighbours else [value]
-        out += [F.struct(F.lit(i).alias("band"), v.alias("value")) for v in values]
-    return F.array(*out)
-
-
-def near_pairs(prints: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """fp_a, fp_b, distance of the distinct fingerprints (column fp) within `most` bits, fp_a < fp_b; exact for most <= 9."""
-    if most > 9:
-        raise ValueError("five bands find all pairs within nine bits only")
-    distinct = checkpointed(prints.select("fp").distinct())
-    left = distinct.select(F.col("fp").alias("fp_a"), F.explode(_bands(F.col("fp"), False)).alias("k"))
-    right = distinct.select(F.col("fp").alias("fp_b"), F.explode(_bands(F.col("fp"), True)).alias("k"))
-    distance = hashing.hamming(F.col("fp_a"), F.col("fp_b"))
-    return left.join(right, "k").filter((F.col("fp_a") < F.col("fp_b")) & (distance <= most)).select("fp_a", "fp_b", distance.alias("distance")).distinct()
+#: Least and largest number of blocks that a fingerprint is cut into.
+LEAST_BLOCKS, MOST_BLOCKS = 10, 14
+
+
+def blocks_for(n: int) -> int:
+    """The number of blocks that gives n fingerprints the fewest keys and chance candidates together."""
+
+    def cost(b: int) -> float:
+        bits = 64 * (b - DISTANCE) / b
+        return comb(b, DISTANCE) * (n + n * n / 2 ** (bits + 1))
+
+    return min(range(LEAST_BLOCKS, MOST_BLOCKS + 1), key=cost)
+
+
+def masks(blocks: int) -> list[int]:
+    """Signed 64-bit masks of every choice of blocks - DISTANCE blocks, in lexicographic order."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    each = [(1 << ends[i + 1]) - (1 << ends[i]) for i in range(blocks)]
+    sums = (sum(chosen) for chosen in combinations(each, blocks - DISTANCE))
+    return [m - (1 << 64) if m >> 63 else m for m in sums]
+
+
+def near_pairs(prints: DataFrame, most: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+    """fp_a, fp_b, distance of the distinct fingerprints (column fp) within `most` bits, fp_a < fp_b; exact for most <= 9.
+
+    A pair that meets under several keys is given under the first of them only, so nothing is made distinct afterwards.
+    """
+    if most > DISTANCE:
+        raise ValueError(f"the blocks find all pairs within {DISTANCE} bits only")
+    distinct = checkpointed(prints.select("fp").distinct()).filter("fp IS NOT NULL")  # a filter before would compute fingerprints twice
+    chosen = F.lit(masks(blocks or blocks_for(distinct.count())))
+    keyed = spread(distinct).select("fp", F.posexplode(F.transform(chosen, lambda m: F.col("fp").bitwiseAND(m))).alias("choice", "value"))
+    sides = (keyed.withColumnRenamed("fp", name) for name in ("fp_a", "fp_b"))
+    met = next(sides).join(next(sides), ["choice", "value"]).filter("fp_a < fp_b")
+    near = met.withColumn("distance", hashing.hamming(F.col("fp_a"), F.col("fp_b"))).filter(F.col("distance") <= most)
+    equal = F.transform(chosen, lambda m: F.col("fp_a").bitwiseXOR(F.col("fp_b")).bitwiseAND(m) == 0)
+    return near.filter(F.array_position(equal, True) == F.col("choice") + 1).select("fp_a", "fp_b", "distance")
 
 
 def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
