@@ -88,3 +88,8 @@ def test_config(tmp_path):
     for bad in ({"none": {}}, {"crawl": {"render_mode": "x"}}, {"politeness": {"min_delay": 0}}):
         with pytest.raises(ValueError):
             config.load(None, bad)
+
+
+def test_references_without_semicolons(spark):
+    row = spark.range(1).select(markup.unescape(F.lit("a &amp b &ltx&gt; &amp;lt; &quot &#39; &#39 &copy")).alias("x")).first()
+    assert row.x == "a & b <x> &lt; \" ' &#39 ©"

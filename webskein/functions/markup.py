@@ -14,13 +14,14 @@ BLOCKED_RENDERED = (
     ("challenge-platform", "challenge_detected"), ("access denied", "access_denied"), ("bot detected", "bot_detected"),
 )
 SKIPPED_SCHEMES = ("javascript", "mailto", "tel", "data", "ftp", "file", "blob", "sms")
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
+#: Character references by pattern: the named ones count without their semicolon too, as HTML has it.
+_ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"), ("&copy;?", "©"), ("&middot;?", "·"), ("&nbsp;?", "\xa0"), ("&amp;?", "&"))
 
 
 def unescape(text: Column) -> Column:
     """The common character references, decoded."""
     for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+        text = F.regexp_replace(text, name, char)
     return text
 
 

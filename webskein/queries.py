@@ -43,7 +43,9 @@ _LOG = """log AS (SELECT user_id::VARCHAR AS domain, ts, event_id AS seq, value
 _RUNS = f"""{_LOG},
 isl AS (SELECT *, sum(success::INT) OVER (PARTITION BY domain ORDER BY ts, seq) AS island FROM log),
 runs AS (SELECT * EXCLUDE island, sum((NOT success)::INT) OVER (PARTITION BY domain, island ORDER BY ts, seq)::BIGINT AS consecutive_errors FROM isl)"""
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&')"
+_UNESCAPE = "{}"
+for _name, _char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&copy;?", "©"), ("&middot;?", "·"), ("&nbsp;?", "\u00a0"), ("&amp;?", "&")):
+    _UNESCAPE = f"regexp_replace({_UNESCAPE}, '{_name}', '{_char}', 'g')"
 _HOST = "lower(regexp_extract({0}, '^https?://([^/?#]*)', 1))"
 _LAST2 = "array_to_string(list_slice(string_split(" + _HOST + ", '.'), -2, -1), '.')"
 
@@ -51,11 +53,6 @@ _LAST2 = "array_to_string(list_slice(string_split(" + _HOST + ", '.'), -2, -1),
 # pages
 
 
-@query("page_records")
-def page_records(spark, d):
-    return pipeline.page_records(_t(spark, d, "pages"), language.profiles(_t(spark, d, "documents")))
-
-
 @query("page_lang_counts", "SELECT lower(split_part(regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1), '-', 1)) AS language, count(*) AS pages FROM pages GROUP BY 1")
 def page_lang_counts(spark, d):
     return _t(spark, d, "pages").groupBy(markup.primary_lang(F.col("html")).alias("language")).agg(F.count("*").alias("pages"))
@@ -272,32 +269,125 @@ def url_similarity_pairs(spark, d):
     return a.join(b, "other_id").select("page_id", "other_id", urls.similarity(F.col("url"), F.col("other")).alias("similarity"))
 
 
-@query("page_metadata")
+_ORIGIN = "regexp_extract(url, '^https?://[^/?#]*', 0)"
+#: What the made pages have in their head and body besides the given ones; {n} is the page's number.
+HEAD = (
+    '<meta name="Description" content=" About {n} "><meta name="author" content="A &amp; {n}"><meta property="keywords" content="one, two ,,{n}">'
+    '<link rel="canonical" href="https://h.example.com/{n}"><link rel="shortcut icon" href="/f{n}.ico"><meta property="og:type" content="article">'
+    '<meta property="og:image" content="/i{n}.png"><meta name="twitter:card" content="c{n}"><meta name="Generator" content="g{n}"><meta name="robots" content="noindex">'
+)
+BODY = (
+    '<img src="/a{n}.png" data-srcset="/b.png 2x" alt=" x " width="10px"><img src="/never.png"><video src="/v{n}.mp4" poster="p.jpg"></video>'
+    '<iframe src="https://www.youtube.com/embed/{n}" title="T"></iframe><iframe src="https://other.example.com/"></iframe><a href="/d{n}.pdf">d</a><a href="/d{n}.pdf">again</a>'
+    '<script type="application/ld+json">{"@type": "Thing", "n": {n}}</script><div itemscope itemtype="https://schema.org/Person"><b itemprop="name">N{n}</b></div>'
+    "<address>Street {n}, Town</address>"
+)
+
+
+def _made_pages(spark, d) -> DataFrame:
+    """The pages; those with an odd number have HEAD and BODY too, the latter in front, as some pages break off."""
+    pages = _t(spark, d, "pages")
+    filled = lambda s: F.replace(F.lit(s), F.lit("{n}"), F.col("page_id").cast("string"))
+    more = F.replace(F.replace("html", F.lit("</head>"), F.concat(filled(HEAD), F.lit("</head>"))), F.lit("<body>"), F.concat(F.lit("<body>"), filled(BODY)))
+    return pages.withColumn("html", F.when(F.col("page_id") % 2 == 1, more).otherwise(F.col("html")))
+
+
+def _as_json(*names: str) -> list:
+    return [F.to_json(n).alias(n) for n in names]
+
+
+@query(
+    "page_metadata",
+    f"""SELECT page_id, {_UNESCAPE.format("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))")} AS title, CASE WHEN odd THEN 'About ' || page_id ELSE '' END AS description, CASE WHEN odd THEN 'A & ' || page_id ELSE '' END AS author,
+  CASE WHEN odd THEN 'noindex' ELSE '' END AS robots, CASE WHEN odd THEN '["one","two","' || page_id || '"]' ELSE '[]' END AS keywords, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset,
+  CASE WHEN odd THEN 'https://h.example.com/' || page_id ELSE '' END AS canonical_url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, CASE WHEN odd THEN '/f' || page_id || '.ico' ELSE '' END AS favicon,
+  CASE WHEN odd THEN '{{"type":"article","image":"/i' || page_id || '.png"}}' ELSE '{{}}' END AS og, CASE WHEN odd THEN '{{"card":"c' || page_id || '"}}' ELSE '{{}}' END AS twitter,
+  CASE WHEN odd THEN '{{"generator":"g' || page_id || '"}}' ELSE '{{}}' END AS other_meta FROM (SELECT *, page_id % 2 = 1 AS odd FROM pages)""",
+)
 def page_metadata(spark, d):
-    return dom.extracted(_t(spark, d, "pages"), fields=("title", "description", "author", "keywords", "charset", "canonical_url", "language", "favicon", "og", "twitter", "other_meta"))
+    """Metadata of the made pages; lists and maps as JSON."""
+    found = dom.extracted(_made_pages(spark, d), fields=("title", "description", "author", "robots", "keywords", "charset", "canonical_url", "language", "favicon", "og", "twitter", "other_meta"), keep=("page_id",))
+    return found.select("page_id", "title", "description", "author", "robots", "charset", "canonical_url", "language", "favicon", *_as_json("keywords", "og", "twitter", "other_meta"))
 
 
-@query("page_media")
+@query(
+    "page_media",
+    f"""SELECT page_id, CASE WHEN odd THEN '[{{"url":"' || o || '/a' || page_id || '.png","alt":"x","title":"","width":10,"format":"PNG"}}]' ELSE '[]' END AS images,
+  CASE WHEN odd THEN '[{{"url":"' || o || '/v' || page_id || '.mp4","type":"html5","source":"self-hosted","poster":"p.jpg","title":""}},{{"url":"https://www.youtube.com/embed/' || page_id || '","type":"iframe","source":"youtube","poster":"","title":"T"}}]' ELSE '[]' END AS videos,
+  CASE WHEN odd THEN '[{{"url":"' || o || '/d' || page_id || '.pdf","file_type":"PDF Document","filename":"d' || page_id || '.pdf"}}]' ELSE '[]' END AS files,
+  CASE WHEN odd THEN 'json-ld Thing {{"@type": "Thing", "n": ' || page_id || '}} microdata Person {{"@type": "https://schema.org/Person", "name": "N' || page_id || '"}}' ELSE '' END AS structured,
+  CASE WHEN odd THEN '["Street ' || page_id || ', Town"]' ELSE '[]' END AS addresses FROM (SELECT *, page_id % 2 = 1 AS odd, {_ORIGIN} AS o FROM pages)""",
+)
 def page_media(spark, d):
-    return dom.extracted(_t(spark, d, "pages"), fields=("images", "videos", "files", "structured", "addresses"))
+    """Media, files, structured data and addresses of the made pages; lists as JSON."""
+    found = dom.extracted(_made_pages(spark, d), fields=("images", "videos", "files", "structured", "addresses"), keep=("page_id",))
+    items = F.array_join(F.transform("structured", lambda i: F.concat_ws(" ", i["format"], i["type"], i["data"])), " ")
+    return found.select("page_id", *_as_json("images", "videos", "files", "addresses"), items.alias("structured"))
 
 
-@query("page_main_content")
+@query("page_main_content", f"SELECT page_id, {_clean_sql()} AS text FROM pages")
 def page_main_content(spark, d):
-    return dom.extracted(_t(spark, d, "pages"), fields=("text", "main_content", "cleaned_html", "paragraphs"))
+    """The text that is left of the parsed pages without boilerplate."""
+    return dom.extracted(_t(spark, d, "pages"), fields=("text",), keep=("page_id",)).drop("url")
+
+
+_WRAPPED = """(SELECT page_id, md5(url) || ' ' || md5(html) AS a, md5(html) || ', ' || md5(url) AS b FROM pages)"""
+
+
+@query(
+    "made_main_content",
+    f"""SELECT page_id, '<article data-x="1"><p class="a">' || a || '</p><p>' || b || '<br></p></article>' AS main_content, a || '|' || b AS paragraphs,
+  '<html><body><article><p>' || a || '</p><p>' || b || '<br></p></article><div><p>short <a href="/">x</a></p></div></body></html>' AS cleaned_html FROM {_WRAPPED}""",
+)
+def made_main_content(spark, d):
+    """The main element, cleaned HTML and paragraphs of a small page made of each page's checksums."""
+    u, h = F.md5("url"), F.md5("html")
+    html = F.concat(
+        F.lit('<html><body><nav><a href="/">home</a></nav><div id="sidebar">S</div><div class="x share">S</div><article data-x="1"><p class="a">'), u, F.lit(" "), h, F.lit("</p><p>"), h, F.lit(", "), u,
+        F.lit('<br></p></article><div class="end"><p>short <a href="/">x</a></p></div><p role="banner">B</p><footer>f</footer><script>var a</script></body></html>'),
+    )
+    found = dom.extracted(_t(spark, d, "pages").select("page_id", "url", html.alias("html")), fields=("main_content", "cleaned_html", "paragraphs"), keep=("page_id",))
+    return found.select("page_id", "main_content", "cleaned_html", F.array_join("paragraphs", "|").alias("paragraphs"))
+
+
+def _grams_sql(table: str) -> str:
+    chars = f"(SELECT *, string_split(' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) || ' ', '') AS c FROM {table})"
+    return f"(SELECT * EXCLUDE c, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM {chars})"
+
+
+def _detected_sql(rows: str) -> str:
+    """Common tables up to `detected` (key, language, confidence, source) of the rows (key, text)."""
+    return f"""counted AS (SELECT lang, gram, count(*) AS n FROM {_grams_sql("documents")} WHERE lang IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS k FROM counted),
+profile AS (SELECT lang, gram, n / total AS p FROM ranked WHERE k <= 300),
+given AS ({rows}),
+enough AS (SELECT key, text FROM given WHERE length(trim(text, ' ')) >= 20),
+own AS (SELECT key, gram, count(*) AS n FROM {_grams_sql("enough")} GROUP BY ALL),
+scored AS (SELECT key, lang, sum(own.n * ln(p * 10000)) AS score FROM own JOIN profile USING (gram) GROUP BY ALL),
+weighed AS (SELECT *, exp((score - max(score) OVER (PARTITION BY key)) / 20) AS w FROM scored),
+best AS (SELECT key, arg_max(lang, w) AS lang, max(w) / sum(w) AS share FROM weighed GROUP BY key),
+detected AS (SELECT given.key, coalesce(best.lang, 'unknown') AS language, round(coalesce(share, 0.0), 4) AS confidence,
+  CASE WHEN best.key IS NOT NULL THEN 'profile' WHEN enough.key IS NOT NULL THEN 'detection_failed' ELSE 'insufficient_content' END AS source FROM given LEFT JOIN best USING (key) LEFT JOIN enough USING (key))"""
 
 
-@query("page_languages")
+@query(
+    "page_languages",
+    f"""WITH {_detected_sql(f"SELECT page_id AS key, {_clean_sql()} AS text FROM pages WHERE page_id % 3 <> 0")}
+SELECT url, CASE WHEN page_id % 3 = 0 THEN lower(split_part(regexp_extract(html, '<html lang="([^"]*)"', 1), '-', 1)) ELSE d.language END AS language, CASE WHEN page_id % 3 = 0 THEN 1.0 ELSE d.confidence END AS confidence,
+  CASE WHEN page_id % 3 = 0 THEN 'html_attribute' ELSE d.source END AS source FROM pages LEFT JOIN detected d ON key = page_id""",
+)
 def page_languages(spark, d):
+    """Languages of all pages; two in three are made to declare none, so that theirs is detected."""
     pages, docs = _t(spark, d, "pages"), _t(spark, d, "documents")
+    pages = pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.regexp_replace("html", "<html[^>]*>", "<html>")))
     texts = pages.select("url", markup.clean_text(F.col("html")).alias("text"))
-    return language.page_languages(pages, texts, language.profiles(docs))
+    return language.page_languages(pages, texts, language.profiles(docs)).withColumn("confidence", F.round("confidence", 4))
 
 
-@query("document_languages")
+@query("document_languages", f"WITH {_detected_sql("SELECT doc_id AS key, coalesce(text, '') AS text FROM documents")} SELECT key AS doc_id, language, confidence, source FROM detected")
 def document_languages(spark, d):
     docs = _t(spark, d, "documents")
-    return language.detected(docs, language.profiles(docs)).select("doc_id", "language", "confidence", "source")
+    return language.detected(docs, language.profiles(docs)).select("doc_id", "language", F.round("confidence", 4).alias("confidence"), "source")
 
 
 # documents
@@ -401,6 +491,27 @@ def entity_phones(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(entities.phones(F.col("text")), ",").alias("phones"))
 
 
+def _records_sql() -> str:
+    emails = f"array_to_string(list_sort(list_distinct(list_concat({_emails_sql('text')}, {_emails_sql('r')}))), ',')"
+    return f"""{_class_sql()}, {_EDGES},
+t AS (SELECT page_id AS doc_id, url, html, {_clean_sql()} AS text FROM pages), shown AS (SELECT *, {_SHOWN} AS r FROM t),
+inside AS (SELECT src, string_agg(dst, ' ' ORDER BY pos) AS internal FROM edges GROUP BY src), f AS ({_phones_sql().replace("FROM documents", "FROM t")})
+SELECT url, {_HOST.format("url")} AS domain, NULL::INT AS depth, {_UNESCAPE.format("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))")} AS title, '' AS description, text AS text_content, regexp_extract(html, '<html lang="([^"]*)"', 1) AS declared,
+  lower(split_part(regexp_extract(html, '<html lang="([^"]*)"', 1), '-', 1)) AS language, 'html_attribute' AS language_source, '{{}}' AS og, coalesce(internal, '') AS internal, '' AS external, {emails} AS emails, phones, '' AS social_links, type, confidence
+FROM shown JOIN c ON page_id = doc_id JOIN f USING (doc_id) LEFT JOIN inside ON src = url"""
+
+
+@query("page_records", _records_sql())
+def page_records(spark, d):
+    """The record of every page, its groups flat (plans.pipeline.page_records has them as structs)."""
+    r = pipeline.page_records(_t(spark, d, "pages"), language.profiles(_t(spark, d, "documents")))
+    return r.select(
+        "url", "domain", "depth", "title", "description", "text_content", F.col("metadata.language").alias("declared"), "language", F.col("language_detected.source").alias("language_source"),
+        F.to_json("metadata.og").alias("og"), F.array_join("links.internal", " ").alias("internal"), F.array_join("links.external", " ").alias("external"), F.array_join("entities.emails", ",").alias("emails"),
+        F.array_join("entities.phones", ",").alias("phones"), F.array_join("entities.social_links.url", " ").alias("social_links"), F.col("classification.type").alias("type"), F.col("classification.confidence").alias("confidence"),
+    )
+
+
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 _SCORED = f"""s0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\\s+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 20) AS ss FROM documents),
