@@ -64,6 +64,18 @@ def test_long_unbroken_texts_are_cut_before_marks():
         assert b"".join(bpe.packed([text[:1000], "a b c d e f"])) == np.array(ENC.encode_ordinary(text[:1000]) + ENC.encode_ordinary("a b c d e f"), "<u4").tobytes()
 
 
+def test_latin_texts_are_cut_into_matches_of_the_pattern():
+    bpe = byte_bpe.vocabulary()
+    bpe.memo.clear()
+    texts = ["one, one. one's  one!", "".join(c for c in map(chr, range(0x250)) if not byte_bpe._NOT_LATIN.match(c)) * 2, "y" * 5000 + " one's\n\n two", "one 漢 one, \x1c one"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in bpe.packed(texts)] == [ENC.encode_ordinary(t) for t in texts]
+    bpe.memo.clear()
+    bpe.packed(texts[:1])
+    assert set(bpe.memo) == {"one", ",", " one", ".", "'s", " ", "!"}
+    bpe.packed(["z" * 100])
+    assert "z" * 100 not in bpe.memo
+
+
 def test_offsets_and_split_characters(spark, rows):
     got = byte_bpe.encode(rows([(1, "héllo \U0001f600"), (2, None)]), offsets=True).collect()
     text = "héllo \U0001f600"

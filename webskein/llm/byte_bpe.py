@@ -3,7 +3,8 @@
 A text is cut where the pre-tokenizer cuts in any case: around white space, and in long runs between a letter and a
 punctuation mark. The library encodes every distinct piece once (pieces of Latin characters are pre-tokenized and mapped
 from bytes to characters here, and merged by its model), and a worker remembers the ids of short pieces (at most
-REMEMBERED of them), so a text's ids are joined from those of its pieces. What the pattern itself doesn't cut, such as
+REMEMBERED of them), so a text's ids are joined from those of its pieces. The pieces of a text of Latin characters alone
+are the matches of the pattern. What the pattern itself doesn't cut, such as
 millions of letters in a row, goes to the library as one piece, in memory in proportion to it (about 200 bytes a
 letter). Decoding joins the bytes of the ids by the byte table before any character is read; offsets follow from the
 lengths of the ids' bytes and the table of characters by bytes.
@@ -18,11 +19,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -46,9 +46,11 @@ _BEFORE_MARK = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}])")
 #: The pattern's cuts around plain white space; characters that some library may take for white space besides.
 _PIECE = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: The pre-tokenizer's pattern, for texts of Latin characters (to U+024F) without other white space.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{n}]+| ?[^\t-\r {l}{n}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+".format(l="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", n="0-9\xb2\xb3\xb9\xbc-\xbe"))
+_LATIN = re.compile(r" ?[{l}]+| ?[{n}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\t-\r {l}{n}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+".format(l="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", n="0-9\xb2\xb3\xb9\xbc-\xbe"))
 _BEYOND = re.compile("[^\x00-ɏ]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Either of them: a text without such a character is cut by _LATIN as a whole.
+_NOT_LATIN = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 
 
 def byte_characters() -> dict[int, str]:
@@ -58,6 +60,29 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict[str, bytes]):
+    """The ids of pieces; those of a match of the pattern that isn't known yet are found by `merged`."""
+
+    def __init__(self, merged: Callable[[str], bytes]):
+        super().__init__()
+        self.merged = merged
+        self.long: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.merged(word)
+        if len(word) > SHORT:
+            self.long.append(word)
+        return ids
+
+    def shrink(self) -> None:
+        """Forget long pieces, and all of them where they are too many."""
+        for p in self.long:
+            self.pop(p, None)
+        self.long.clear()
+        if len(self) > REMEMBERED:
+            self.clear()
+
+
 class ByteBpe:
     """A vocabulary file, its encoder, and the bytes of every id."""
 
@@ -74,11 +99,15 @@ class ByteBpe:
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = added[i].encode() if i in added else bytes(back[c] for c in token)
         self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.merged)
         self.merge = self.tokenizer.model.tokenize
         stands = byte_characters()
         self.characters = str.maketrans({chr(i): "".join(stands[b] for b in chr(i).encode()) for i in range(0x250)})
 
+    def merged(self, word: str) -> bytes:
+        """The ids of a match of the pattern: the library's merges on the characters that stand for the bytes."""
+        return array("I", [t.id for t in self.merge(word.translate(self.characters))]).tobytes()
+
     @staticmethod
     def cuts(text: str, size: int = CALL) -> Iterator[str]:
         """The text in parts of about `size` characters that encode to the same ids as the whole."""
@@ -104,40 +133,31 @@ class ByteBpe:
         queue: list[tuple[int, list[str]]] = []
         size = 0
 
-        def merged(word: str) -> bytes:
-            """The ids of a match of the pattern: the library's merges on the characters that stand for the bytes."""
-            return array("I", [t.id for t in self.merge(word.translate(self.characters))]).tobytes()
-
         def flush() -> None:
-            long: list[str] = []
-            if len(self.memo) > REMEMBERED:
-                self.memo.clear()
             new = [p for p in set().union(*(ps for _, ps in queue)) if p not in self.memo]
             rest = []
             for p in new:
                 if len(p) > LONG or not p.isascii() and _BEYOND.search(p) or _OTHER_SPACE.search(p):
                     rest.append(p)
-                elif len(words := _LATIN.findall(p)) == 1:
-                    self.memo[p] = merged(p)
                 else:
-                    for w in words:
-                        if w not in self.memo:
-                            self.memo[w] = merged(w)
-                            if len(w) > SHORT:
-                                long.append(w)
-                    self.memo[p] = b"".join(map(self.memo.__getitem__, words))
+                    self.memo[p] = b"".join(map(self.memo.__getitem__, _LATIN.findall(p)))
             for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.memo[p] = array("I", e.ids).tobytes()
             for i, ps in queue:
                 out[i].append(b"".join(map(self.memo.__getitem__, ps)))
-            for p in itertools.chain(long, (p for p in new if len(p) > SHORT)):
-                self.memo.pop(p, None)
+            self.memo.long += (p for p in new if len(p) > SHORT)
+            self.memo.shrink()
             queue.clear()
 
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):  # such a string may cut a run of white space
                 out[i].append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
                 continue
+            if not _NOT_LATIN.search(text):
+                for part in self.cuts(text):
+                    out[i].append(b"".join(map(self.memo.__getitem__, _LATIN.findall(part))))
+                    self.memo.shrink()
+                continue
             for part in self.cuts(text):
                 queue.append((i, self.pieces(part)))
                 size += len(part)
