@@ -114,3 +114,32 @@ def test_prefixes_share_an_entry():
             continue
         kind = lambda t: ((t >> np.uint64(7)) % np.uint64(1 + trial % 3)).astype(np.int8)  # noqa: B023, E731
         assert len(np.intersect1d(q.signatures(a, kind(a), 85), q.signatures(b, kind(b), 85)))
+
+
+def test_a_large_family_has_no_row_or_entry_per_pair(spark):
+    known = spark.createDataFrame([(s, i, 100, i, i % 3, size) for s in range(3) for i in range(600) for size in [0]], "signature bigint, node bigint, n bigint, part bigint, block bigint, size bigint")
+    got = q.candidate_blocks(known, 80, True).collect()
+    assert sorted((r.ba, r.bb) for r in got) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    assert all(len(r.a) == len(r.b) == 200 * 8 and not r.whole for r in got)
+    got = q.candidate_blocks(known.selectExpr("signature", "node", "n", "part", "block", "200L AS size"), 80, True).collect()
+    assert len(got) == 6 and all(r.whole and not r.a and not r.b and not r.nodes for r in got)
+
+
+def test_families_of_many_blocks_equal_brute_force(spark, rows):
+    rnd = random.Random(11)
+    given = list(enumerate(t for n, w, e in ((70, 120, 12), (30, 40, 3)) for t in family(rnd, n, w, e)))
+    with mock.patch.multiple(q, BLOCK_NODES=4, MANY_BLOCKS=3, LARGE_BLOCK_NODES=16):
+        assert result(q.near_duplicates(rows(given, "node"), words=5, percent=80)) == brute(given, 5, 80)
+
+
+def test_products_of_matrices_equal_intersections():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+    make = lambda k: [np.unique(np.concatenate([base[rng.random(150) < 0.9], rng.integers(0, 40, 5).astype(np.uint64)])) for _ in range(k)]
+    for a, b in ((make(90), make(70)), (make(3), make(4)), (make(1), make(40))):
+        both = [[len(np.intersect1d(s, t)) for t in b] for s in a]
+        assert (q.shared_tokens(a, b) == both).all()
+        want = np.array([[100 * c >= 80 * (len(s) + len(t) - c) for t, c in zip(b, row)] for s, row in zip(a, both)])
+        assert (q.linked(a, b, 80) == want).all()
+        x, y = q.spanning(want, np.arange(len(a)), len(a) + np.arange(len(b)))
+        assert want[x, y].all() and len(x) < len(a) + len(b)

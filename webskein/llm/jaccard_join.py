@@ -9,8 +9,9 @@ which are formed within sub-classes so that their number stays in proportion to
 bands of size; one near a band's lower end is indexed in the band below as well. Nodes that share an index entry are
 candidates and are verified on their whole sets; none is left out. First each node is verified with the smallest node
 under each of its entries and with its neighbours by size; candidates that are connected by then need no further check,
-all others get one. Pairs are verified in blocks of nodes of one family, so that large families need neither a row nor a
-copy of the texts for each pair. The links that result connect whatever is linked; with connecting=False every linked
+all others get one. Pairs are verified in blocks of nodes of one family: a pair of blocks is one row, with the nodes of
+either side, and all of these are compared at once by a product of matrices, so that large families need neither a row
+nor a copy of the texts nor a step of Python for each pair. The links that result connect whatever is linked; with connecting=False every linked
 pair of nodes is given, and `link_counts` has each document's number of links.
 
 A node is known by a 64-bit digest of its set; a second digest of each set is compared as well, and where two sets share
@@ -57,6 +58,12 @@ BROADCAST_ROWS = 1 << 18
 SALTS, COPY_SALTS = 64, 8
 #: Nodes of one family that lie in one block, and shingles of them.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
+#: Blocks of a family from which on they grow, to LARGE_BLOCK_NODES: a text is read once for each pair of its block.
+MANY_BLOCKS, LARGE_BLOCK_NODES = 24, 2048
+#: Two blocks are compared whole if one signature has at least this part of the nodes of each.
+WHOLE_SHARE = 8
+#: The third side of a pair of blocks: all nodes of both.
+WHOLE = 2
 #: Shingles and index entries that a bucket has on average.
 BUCKET_TOKENS = 2_000_000
 
@@ -290,70 +297,125 @@ def entries(docs: DataFrame, held, bits: int, words: int, percent: int, shared_:
 
 
 def blocked(live: DataFrame) -> DataFrame:
-    """The entries (signature, node, n) with the node's block.
+    """The entries (signature, node, n) with the node's block, and the nodes that a block of its family has (0 where the family is one block).
 
     Nodes with the same smallest partner lie in the same block, or in several where they are many or large.
     """
     known = live.groupBy("node").agg(F.min("pivot").alias("pivot"), F.first("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS).cast("bigint")))
-    count = known.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    many = F.greatest(F.least(F.count("*") / BLOCK_NODES, F.lit(MANY_BLOCKS).cast("double")), F.count("*") / LARGE_BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)
+    count = known.groupBy("pivot").agg(F.ceil(many).alias("blocks"), F.count("*").alias("nodes")).withColumn("size", F.ceil(F.col("nodes") / F.col("blocks")))
     # only families of several blocks are looked up, by salt, so that a family's rows aren't brought together
-    large = count.filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    placed = known.join(large, ["pivot", "salt"], "left").select("node", F.xxhash64("pivot", F.pmod(F.xxhash64(F.lit("block"), "node"), F.coalesce("blocks", F.lit(1).cast("bigint")))).alias("block"))
+    large = count.filter("blocks > 1").select("pivot", "blocks", "size").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    block = F.xxhash64("pivot", F.pmod(F.xxhash64(F.lit("block"), "node"), F.coalesce("blocks", F.lit(1).cast("bigint"))))
+    placed = known.join(large, ["pivot", "salt"], "left").select("node", block.alias("block"), F.coalesce("size", F.lit(0).cast("bigint")).alias("size"))
     return live.select("signature", "node", "n").join(placed, "node")
 
 
-def _candidates(signature: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs in different parts under equal signatures (rows sorted by signature and n): of neighbours and each signature's smallest node, or of all."""
-    near = 8 if every else 1
+def _pairs(signature: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in different parts under equal signatures (rows sorted by signature and n) that lie at most `near` rows apart."""
     for d in range(1, near + 1):
         at = np.flatnonzero((signature[d:] == signature[:-d]) & (part[d:] != part[:-d]) & (100 * n[:-d] >= percent * n[d:]))
         if len(at):
             yield at, at + d
-    edge = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
-    size = np.diff(np.append(edge, len(signature)))
-    if not every:
-        least = np.flatnonzero(node == np.repeat(np.minimum.reduceat(node, edge), size))  # one a signature: its nodes are distinct
-        least = np.repeat(least, size)
-        at = np.flatnonzero((part != part[least]) & (100 * np.minimum(n, n[least]) >= percent * np.maximum(n, n[least])))
-        if len(at):
-            yield least[at], at
-        return
-    for a, g in zip(edge[size > near + 1], size[size > near + 1], strict=True):
-        p, s = part[a : a + g], n[a : a + g]
-        if (p == p[0]).all():
-            continue
-        rows = max(1, 1_000_000 // int(g))
-        for i in range(0, int(g), rows):
-            left = np.arange(i, min(i + rows, int(g)))
-            far = np.arange(int(g))[None, :] - left[:, None] > near
-            x, y = np.nonzero(far & (p[left][:, None] != p[None, :]) & (100 * s[left][:, None] >= percent * s[None, :]))
-            if len(x):
-                yield a + left[x], a + y
 
 
-def _distinct(ba: np.ndarray, bb: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort((b, a, bb, ba))
-    ba, bb, a, b = ba[order], bb[order], a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return [x[new] for x in (ba, bb, a, b)]
+def _least_pairs(signature: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each signature's smallest node and of the others."""
+    edge = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+    size = np.diff(np.append(edge, len(signature)))
+    least = np.flatnonzero(node == np.repeat(np.minimum.reduceat(node, edge), size))  # one a signature: its nodes are distinct
+    least = np.repeat(least, size)
+    at = np.flatnonzero((part != part[least]) & (100 * np.minimum(n, n[least]) >= percent * np.maximum(n, n[least])))
+    return least[at], at
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range of so many."""
+    return np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def _meetings(node: np.ndarray, n: np.ndarray, part: np.ndarray, block: np.ndarray, size: np.ndarray, percent: int) -> Iterator[list[np.ndarray]]:
+    """The pairs of blocks that meet under one signature, as rows (ba, bb, node, side): the nodes of either side, or one row of side WHOLE where the signature has much of both blocks."""
+    order = np.argsort(block, kind="stable")
+    node, n, part, block, size = (x[order] for x in (node, n, part, block, size))
+    at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    count = np.diff(np.append(at, len(block)))
+    names, much = block[at], (size[at] > 0) & (WHOLE_SHARE * count >= size[at])
+    low, high, least, most = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
+    rows = max(1, 1_000_000 // len(node))
+    for first in range(0, len(at), rows):
+        i = np.arange(first, min(first + rows, len(at)))
+        i, j = np.repeat(i, len(at) - i), _spread(i, len(at) - i)
+        one = (least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j])
+        kept = ~one & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        i, j = i[kept], j[kept]
+        whole = much[i] & much[j]
+        if whole.any():
+            yield [names[i[whole]], names[j[whole]], np.zeros(int(whole.sum()), dtype=np.int64), np.full(int(whole.sum()), WHOLE)]
+        i, j = i[~whole], j[~whole]
+        if len(i):
+            for side, x in enumerate((i, j)):
+                yield [np.repeat(names[i], count[x]), np.repeat(names[j], count[x]), node[_spread(at[x], count[x])], np.full(int(count[x].sum()), side)]
+
+
+def _candidates(signature: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, block: np.ndarray, size: np.ndarray, percent: int, every: bool) -> Iterator[list[np.ndarray]]:
+    """Rows (ba, bb, node, side) of the nodes that meet under equal signatures (rows sorted by signature and n): of neighbours and each signature's smallest node, or of all that aren't in one part."""
+    near = 8 if every else 1
+    large = np.empty(0, dtype=np.int64)
+    if every:
+        edge = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+        count = np.diff(np.append(edge, len(signature)))
+        mixed = np.minimum.reduceat(part, edge) != np.maximum.reduceat(part, edge)
+        large = np.flatnonzero((count > near + 1) & mixed)
+        few = np.repeat((count <= near + 1) & mixed, count)
+        few = [x[few] for x in (signature, node, n, part, block)]
+        pairs = _pairs(*few[:4], percent, near)
+    else:
+        few = [signature, node, n, part, block]
+        pairs = itertools.chain(_pairs(*few[:4], percent, near), [_least_pairs(*few[:4], percent)])
+    for x, y in pairs:
+        turned = few[4][x] > few[4][y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        for side, z in enumerate((x, y)):
+            yield [few[4][x], few[4][y], few[1][z], np.full(len(z), side)]
+    for g in large:
+        own = slice(int(edge[g]), int(edge[g] + count[g]))
+        yield from _meetings(node[own], n[own], part[own], block[own], size[own], percent)
+
+
+def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct rows (ba, bb, node, side), in order of block pair, side and node."""
+    ba, bb, node, side = rows
+    order = np.lexsort((node, side, bb, ba))
+    rows = [x[order] for x in rows]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)
+    return [x[new] for x in rows]
 
 
 def candidate_blocks(known: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate pairs that lie in different parts, as one row per pair of blocks: first and second nodes, and all nodes. known: signature, node, n, part, block."""
-    names = ("signature", "node", "n", "part", "block")
+    """Pairs of blocks with candidates in different parts, a row each: the first and second nodes, any two of which may be candidates, and all nodes; or whole, with no lists, where all nodes of both blocks are to be compared.
+
+    known: signature, node, n, part, block, size. The nodes of a signature that many have are listed a side, not pair by pair.
+    """
+    names = ("signature", "node", "n", "part", "block", "size")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, dtype=np.int64)] * 5
+        rest = [np.empty(0, dtype=np.int64)] * len(names)
         found: list[list[np.ndarray]] = []
 
+        def distinct() -> list[np.ndarray]:
+            rows = _distinct([np.concatenate([f[k] for f in found]) for k in range(4)])
+            found[:] = [rows]
+            return rows
+
         def batch() -> pa.RecordBatch:
-            ba, bb, a, b = _distinct(*(np.concatenate([f[k] for f in found]) for k in range(4)))
+            ba, bb, node, side = distinct()
             found.clear()
             edge = np.flatnonzero(np.concatenate(([True], (ba[1:] != ba[:-1]) | (bb[1:] != bb[:-1]))))
-            ends = np.append(edge[1:], len(a))
-            parts = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edge, ends, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(ba[edge], pa.int64()), pa.array(bb[edge], pa.int64()), parts(a), parts(b)], ["ba", "bb", "a", "b"])
+            left, right, whole = (np.add.reduceat(side == k, edge, dtype=np.int64) for k in (0, 1, WHOLE))
+            part = lambda first, count: pa.array([b"" if w else node[i : i + k].tobytes() for i, k, w in zip(first, count, whole, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(ba[edge], pa.int64()), pa.array(bb[edge], pa.int64()), part(edge, left), part(edge + left, right), pa.array(whole > 0)], ["ba", "bb", "a", "b", "whole"])
 
         size = 0
         for b in itertools.chain(batches, [None]):
@@ -364,64 +426,144 @@ def candidate_blocks(known: DataFrame, percent: int, every: bool) -> DataFrame:
             rest = [x[whole:] for x in now]
             if not whole:
                 continue
-            signature, node, n, part, block = (x[:whole] for x in now)
-            for x, y in _candidates(signature, node, n, part, percent, every):
-                turned = (block[x] > block[y]) | (block[x] == block[y]) & (node[x] > node[y])
-                x, y = np.where(turned, y, x), np.where(turned, x, y)
-                found.append([block[x], block[y], node[x], node[y]])
-                size += len(x)
-                if size > 1_000_000:
-                    yield batch()
-                    size = 0
+            for rows in _candidates(*(x[:whole] for x in now), percent, every):
+                if len(rows[0]):
+                    found.append(rows)
+                    size += len(rows[0])
+                if size > 2_000_000:
+                    size = len(distinct()[0])  # signatures of one family name the same nodes again and again
+                    if size > 1_000_000:
+                        yield batch()
+                        size = 0
         if found:
             yield batch()
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
-        a, b = (np.concatenate([np.frombuffer(x, dtype="<i8") for x in t.column(c).to_pylist()]) for c in ("a", "b"))
-        same = np.zeros(len(a), dtype=np.int64)
-        _, _, a, b = _distinct(same, same, a, b)
-        nodes_ = np.unique(np.concatenate([a, b]))
-        return pa.table({"ba": pa.array([key[0].as_py()], pa.int64()), "bb": pa.array([key[1].as_py()], pa.int64()), "a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary()), "nodes": pa.array([nodes_], pa.list_(pa.int64()))})
+        whole = any(t.column("whole").to_pylist())
+        a, b = (np.unique(np.concatenate([np.frombuffer(b"" if whole else x, dtype="<i8") for x in t.column(c).to_pylist()])) for c in ("a", "b"))
+        return pa.table({"ba": pa.array([key[0].as_py()], pa.int64()), "bb": pa.array([key[1].as_py()], pa.int64()), "a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary()), "nodes": pa.array([np.union1d(a, b)], pa.list_(pa.int64())), "whole": pa.array([whole])})
 
     dealt = known.select(*names).repartition("signature").sortWithinPartitions("signature", "n")
-    return dealt.mapInArrow(emit, "ba bigint, bb bigint, a binary, b binary").groupBy("ba", "bb").applyInArrow(merge, "ba bigint, bb bigint, a binary, b binary, nodes array<bigint>")
+    return dealt.mapInArrow(emit, "ba bigint, bb bigint, a binary, b binary, whole boolean").groupBy("ba", "bb").applyInArrow(merge, "ba bigint, bb bigint, a binary, b binary, nodes array<bigint>, whole boolean")
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of tokens that each set of `left` shares with each of `right`: tokens that many have by a product of matrices, others pair by pair."""
+    out = np.zeros((len(left), len(right)), dtype=np.float64 if max(map(len, [*left, *right]), default=0) >= 1 << 24 else np.float32)  # exact to 2**24
+    if len(left) * len(right) <= 16:
+        for i, s in enumerate(left):
+            for j, t in enumerate(right):
+                out[i, j] = np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t)
+        return out
+    tokens, rows, first, count = [], [], [], []
+    for sets in (left, right):
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        rows.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order])
+        values = values[order]
+        edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        tokens.append(values[edge])
+        first.append(edge)
+        count.append(np.diff(np.append(edge, len(values))))
+    _, i, j = np.intersect1d(*tokens, assume_unique=True, return_indices=True)
+    fa, fb, ca, cb = first[0][i], first[1][j], count[0][i], count[1][j]
+    common = ca * cb > max(16, len(left) * len(right) // 128)
+    wide = max(1, (4 << 20) // (len(left) + len(right)))
+    at = np.flatnonzero(common)
+    for k in range(0, len(at), wide):
+        own = at[k : k + wide]
+        sides = []
+        for r, f, c, sets in ((rows[0], fa, ca, left), (rows[1], fb, cb, right)):
+            m = np.zeros((len(sets), len(own)), dtype=out.dtype)
+            m[r[_spread(f[own], c[own])], np.repeat(np.arange(len(own)), c[own])] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    at = np.flatnonzero(~common)
+    ends = np.cumsum((ca * cb)[at])
+    k = 0
+    while k < len(at):
+        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 2_000_000)))
+        own, k = at[k:end], end
+        times = np.repeat(cb[own], ca[own])  # each row of the left meets so many of the right
+        x = np.repeat(rows[0][_spread(fa[own], ca[own])], times)
+        y = rows[1][_spread(np.repeat(fb[own], ca[own]), times)]
+        np.add.at(out.reshape(-1), x * len(right) + y, 1)
+    return out
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set of `left` and each of `right` are similar enough."""
+    both = shared_tokens(left, right)
+    n, m = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (left, right))
+    out = np.empty(both.shape, dtype=bool)
+    for i in range(0, len(n), 256):  # 100 * both >= percent * (n + m - both), in whole numbers
+        out[i : i + 256] = both[i : i + 256] >= -(-percent * (n[i : i + 256, None] + m[None, :]) // (100 + percent))
+    return out
+
+
+def spanning(links_: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of links, as many as connect the same parts of left and right."""
+    names, root = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right, root = root[: len(left)], root[len(left) :], np.arange(len(names))
+    x, y = [], []
+    for i in np.flatnonzero(links_.any(axis=1)):
+        at = np.flatnonzero(links_[i])
+        met, own = root[right[at]], root[left[i]]
+        if (met == own).all():
+            continue
+        others, first = np.unique(met, return_index=True)
+        first, others = first[others != own], others[others != own]
+        x += [int(i)] * len(first)
+        y += at[first].tolist()
+        root[np.isin(root, others)] = own
+    return np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
 
 
-def verified_blocks(blocks: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, shared: frozenset[int], connecting: bool) -> DataFrame:
-    """Links (a, b) between the nodes of the blocks' pairs. If connecting, pairs that links of the same block already connect are passed over."""
+def verified_blocks(blocks: DataFrame, placed: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, shared: frozenset[int], connecting: bool) -> DataFrame:
+    """Links (a, b) between the nodes of the blocks' pairs. placed: node, part, block. If connecting, only links that connect parts which links of the same pair of blocks don't connect yet."""
     blocks, blocks_path = written(blocks, "blocks")
-    wanted, path = written(blocks.select("ba", "bb", F.explode("nodes").alias("node")).join(reps.select("node", "doc_id"), "node"), "wanted")
+    wanted = blocks.select("ba", "bb", F.explode("nodes").alias("node"))
+    whole = blocks.filter("whole").select("ba", "bb")
+    paths = [blocks_path]
+    if not whole.isEmpty():
+        sides = whole.withColumn("block", F.explode(F.array_distinct(F.array("ba", "bb"))))
+        wanted = wanted.unionByName(sides.join(placed.select("node", "block").distinct(), "block").select("ba", "bb", "node"))
+    of = reps.select("node", "doc_id").join(placed.select("node", "part", "block").distinct(), "node")
+    wanted, path = written(wanted.join(of, "node"), "wanted")
+    paths.append(path)
+    rows = _rows(docs)
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    met = _rows(docs).join(wanted, "doc_id").select("ba", "bb", "node", "text")
+    else:  # few documents may be wanted by many pairs of blocks
+        ids, path = written(wanted.select("doc_id").distinct(), "ids")
+        paths.append(path)
+        if ids.count() <= BROADCAST_ROWS:
+            rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    met = rows.join(wanted, "doc_id").select("ba", "bb", "node", "part", "block", "text")
 
     def run(key: tuple, pairs: pa.Table, given: pa.Table) -> pa.Table:
-        sets = {}
-        for node, s in zip(given.column("node").to_pylist(), shingle_sets(texts(given.column("text")), words), strict=True):
+        ba, bb = (k.as_py() for k in key)
+        sets, parts, sides = {}, {}, {}
+        for node, part, block, s in zip(*(given.column(c).to_pylist() for c in ("node", "part", "block")), shingle_sets(texts(given.column("text")), words), strict=True):
             if node_of(s, shared) == node:  # else another text under the same id
-                sets[node] = s
-        up = {node: node for node in sets}
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        found = []
-        for first, second in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            for a, b in zip(np.frombuffer(first, dtype="<i8").tolist(), np.frombuffer(second, dtype="<i8").tolist(), strict=True):
-                if a not in sets or b not in sets or connecting and top(a) == top(b):
-                    continue
-                s, t = sets[a], sets[b]
-                both = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    found.append((a, b))
-                    up[top(a)] = top(b)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    out = blocks.select("ba", "bb", "a", "b").groupBy("ba", "bb").cogroup(met.groupBy("ba", "bb")).applyInArrow(run, "a bigint, b bigint")
+                sets[node], parts[node], sides[node] = s, part, block
+        if pairs.column("whole")[0].as_py():
+            a, b = ([node for node in sorted(sets) if sides[node] == side] for side in (ba, bb))
+        else:
+            a, b = ([node for node in np.frombuffer(pairs.column(c)[0].as_py(), dtype="<i8").tolist() if node in sets] for c in ("a", "b"))
+        if ba == bb:
+            a = b = sorted({*a, *b})
+        x = y = np.empty(0, dtype=np.int64)
+        if a and b and not (connecting and len({parts[node] for node in (*a, *b)}) == 1):
+            found = linked([sets[node] for node in a], [sets[node] for node in b], percent)
+            if ba == bb:
+                found = np.triu(found, 1)
+            x, y = spanning(found, *(np.array([parts[node] for node in side], dtype=np.int64) for side in (a, b))) if connecting else np.nonzero(found)
+        return pa.table({"a": pa.array(np.array(a, dtype=np.int64)[x]), "b": pa.array(np.array(b, dtype=np.int64)[y])})
+
+    out = blocks.select("ba", "bb", "a", "b", "whole").groupBy("ba", "bb").cogroup(met.groupBy("ba", "bb")).applyInArrow(run, "a bigint, b bigint")
     out, _ = written(out, "links")
-    for p in (blocks_path, path):
+    for p in paths:
         delete(docs.sparkSession, p)
     return out
 
@@ -477,9 +619,9 @@ def links(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, freque
     delete(spark, live_path)
     edges, alone = None, known.withColumn("part", F.col("node"))
     if connecting:  # neighbours first: what they connect needs no further pairs
-        edges = verified_blocks(candidate_blocks(alone, percent, False), reps, docs, words, percent, shared, True)
+        edges = verified_blocks(candidate_blocks(alone, percent, False), alone, reps, docs, words, percent, shared, True)
         alone = known.join(components(edges), "node", "left").withColumn("part", F.coalesce("root", "node"))
-    more = verified_blocks(candidate_blocks(alone, percent, True), reps, docs, words, percent, shared, connecting)
+    more = verified_blocks(candidate_blocks(alone, percent, True), alone, reps, docs, words, percent, shared, connecting)
     delete(spark, known_path)
     return members, reps, edges.unionByName(more) if connecting else more
 
