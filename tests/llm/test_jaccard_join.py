@@ -1,10 +1,14 @@
 import random
 import re
+import tracemalloc
+from pathlib import Path
 from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from webskein.llm import byte_bpe, common
 from webskein.llm import jaccard_join as q
 
 from .conftest import ODD
@@ -143,3 +147,40 @@ def test_products_of_matrices_equal_intersections():
         assert (q.linked(a, b, 80) == want).all()
         x, y = q.spanning(want, np.arange(len(a)), len(a) + np.arange(len(b)))
         assert want[x, y].all() and len(x) < len(a) + len(b)
+
+
+def test_a_task_drops_what_packing_left_in_its_worker(spark):
+    class Docs:
+        select = filter = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    byte_bpe.vocabulary(byte_bpe.VOCABULARY, True).packed(["some words"])
+    assert byte_bpe.vocabulary.cache_info().currsize
+    batch = pa.record_batch({"doc_id": pa.array([1, 2], pa.int64()), "text": ["one two three four five", ""]})
+    (got,) = q.nodes(Docs(), 4)(iter([batch]))
+    assert got.column("n").to_pylist() == [2, 0]
+    assert not byte_bpe.vocabulary.cache_info().currsize
+
+
+@pytest.mark.skipif(common._TRIM is None, reason="another C library than glibc")
+def test_free_memory_is_given_back():
+    resident = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+    held = [bytes(2000) for _ in range(100_000)]
+    held = held[-1:]  # what lies before it isn't at the end of the heap
+    before = resident()
+    common.give_back()
+    assert resident() < before - 100 and len(held) == 1
+
+
+def test_distinct_rows_take_less_than_a_copy():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 300, 1_000_000) for _ in range(4)]
+    want = np.unique(np.stack([rows[k] for k in (0, 1, 3, 2)], axis=1)[:5000], axis=0)
+    assert (np.stack(q._distinct([x[:5000] for x in rows]))[[0, 1, 3, 2]].T == want).all()
+    rows = [rng.integers(0, 300, 1_000_000) for _ in range(4)]
+    tracemalloc.start()
+    rows = [x.copy() for x in rows]
+    q._distinct(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * 8_000_000

@@ -29,7 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import caches, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters that are given to the library in one call.
@@ -189,6 +189,9 @@ def vocabulary(path: str = VOCABULARY, special: bool = False) -> ByteBpe:
     return ByteBpe(path, special)
 
 
+caches.append(vocabulary.cache_clear)
+
+
 def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY, offsets: bool = False) -> DataFrame:
     """The kept columns and ids array<int>; with offsets also starts and ends (array<int>, in characters)."""
     from pyspark.sql import functions as F

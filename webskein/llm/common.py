@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,30 @@ CHUNK = 1 << 20
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of a group from which on its memory is given back after it.
+GIVE_BACK = 4 << 20
+#: What drops the caches that operators keep in a worker from task to task.
+caches: list[Callable[[], None]] = []
+
+
+def give_back(size: int = GIVE_BACK, cached: bool = False) -> None:
+    """Give memory that is free to the system, after a group of `size` bytes or a task: a worker runs tasks of one stage
+    after another and else keeps what the largest needed. With cached=True first drop the caches of all operators."""
+    if cached:
+        for drop in caches:
+            drop()
+        gc.collect()
+    if size >= GIVE_BACK:
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library than glibc
+    _TRIM = None
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver ends, or before by delete()."""

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, checkpointed, delete, document_words, grouped, mix, slices, texts, written
+from .common import SPACED, checkpointed, delete, document_words, give_back, grouped, mix, slices, texts, written
 
 WORDS = 4
 PERCENT = 85
@@ -66,6 +66,8 @@ WHOLE_SHARE = 8
 WHOLE = 2
 #: Shingles and index entries that a bucket has on average.
 BUCKET_TOKENS = 2_000_000
+#: Pairs that are counted at once where sets are compared pair by pair.
+PAIRS_AT_ONCE = 500_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -175,9 +177,11 @@ def nodes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (the set's size), and both digests of the set, node and second (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(cached=True)
         for b in slices(batches):
             found = [(len(s), *(digests(s) if len(s) else (None, None))) for s in shingle_sets(texts(b.column("text")), words)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], ["doc_id", "n", "node", "second"])
+        give_back()
 
     return _rows(docs).mapInArrow(run, "doc_id bigint, n bigint, node bigint, second bigint")
 
@@ -211,9 +215,10 @@ def frequent_tokens(docs: DataFrame, words: int, frequent: int, bits: int) -> Da
     """token (its top bits) and count of every token that more than `frequent` sets have, counted over all documents."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(cached=True)
         for sets in _distinct_sets(batches, words, frozenset()):
             values, counts = np.unique(np.concatenate([s for _, s in sets]), return_counts=True)
-            del sets
+            sets.clear()
             bucket, edge = _split(values, bits)
             low, more = _low(values, bits), np.flatnonzero(counts > 1)
             cut = np.searchsorted(more, edge)
@@ -226,6 +231,7 @@ def frequent_tokens(docs: DataFrame, words: int, frequent: int, bits: int) -> Da
                 ],
                 ["bucket", "tokens", "again", "extra"],
             )
+        give_back()
 
     def count(key: tuple, t: pa.Table) -> pa.Table:
         read = lambda c: np.concatenate([np.frombuffer(x, dtype="<u4") for x in t.column(c).to_pylist()])
@@ -233,6 +239,7 @@ def frequent_tokens(docs: DataFrame, words: int, frequent: int, bits: int) -> Da
         values, counts = np.unique(one, return_counts=True)
         np.add.at(counts, np.searchsorted(values, again), extra)
         few = counts > frequent
+        give_back(t.nbytes)
         return pa.table({"token": pa.array((key[0].as_py() << 32) + values[few].astype(np.int64), pa.int64()), "count": pa.array(counts[few], pa.int64())})
 
     return _rows(docs).filter("doc_id is not null").mapInArrow(emit, "bucket bigint, tokens binary, again binary, extra binary").groupBy("bucket").applyInArrow(count, "token bigint, count bigint")
@@ -263,22 +270,27 @@ def entries(docs: DataFrame, held, bits: int, words: int, percent: int, shared_:
     """The index entries that two or more nodes share: signature, node, n, and pivot (the entry's smallest node). held: a broadcast of the classes' tokens and kinds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(cached=True)
         tokens, kind = held.value
         look = Classes(tokens, np.zeros(len(tokens)), bits, 0)
         look.kind = kind
         for sets in _distinct_sets(batches, words, shared_):
             found = [signatures(s, look.of(s), percent) for _, s in sets]
-            sizes = np.array([len(f) for f in found])
-            node = np.repeat(np.array([n for n, _ in sets], dtype=np.int64), sizes)
-            n = np.repeat(np.array([len(s) for _, s in sets], dtype=np.uint32), sizes)
-            del sets
+            names, sizes = np.array([n for n, _ in sets], dtype=np.int64), np.array([len(s) for _, s in sets], dtype=np.uint32)
+            sets.clear()
+            owner = np.repeat(np.arange(len(names), dtype=np.int32), [len(f) for f in found])
             values = np.concatenate(found)
+            del found
             order = np.argsort(values)
-            values, node, n = values[order], node[order], n[order]
+            values, owner = values[order], owner[order]
+            del order
+            node, n = names[owner], sizes[owner]
             bucket, edge = _split(values, bits)
             low = _low(values, bits)
             parts = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), parts(low), parts(node), parts(n)], ["bucket", "low", "node", "n"])
+            del values, owner, node, n, low
+        give_back()
 
     def shared(key: tuple, t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in t.column(c).to_pylist()])
@@ -291,6 +303,7 @@ def entries(docs: DataFrame, held, bits: int, words: int, percent: int, shared_:
         edge = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
         size = np.diff(np.append(edge, len(low)))
         pivot, many = np.repeat(node[edge], size), np.repeat(size, size) > 1
+        give_back(t.nbytes)
         return pa.table({"signature": pa.array((key[0].as_py() << 32) + low[many].astype(np.int64), pa.int64()), "node": pa.array(node[many], pa.int64()), "n": pa.array(n[many].astype(np.int64), pa.int64()), "pivot": pa.array(pivot[many], pa.int64())})
 
     return _rows(docs).filter("doc_id is not null").mapInArrow(emit, "bucket bigint, low binary, node binary, n binary").groupBy("bucket").applyInArrow(shared, "signature bigint, node bigint, n bigint, pivot bigint")
@@ -384,13 +397,19 @@ def _candidates(signature: np.ndarray, node: np.ndarray, n: np.ndarray, part: np
 
 
 def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """The distinct rows (ba, bb, node, side), in order of block pair, side and node."""
+    """The distinct rows (ba, bb, node, side), in order of block pair, side and node. The list given is used up."""
     ba, bb, node, side = rows
     order = np.lexsort((node, side, bb, ba))
-    rows = [x[order] for x in rows]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)
-    return [x[new] for x in rows]
+    del ba, bb, node, side
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in range(len(rows)):  # one column after another, in place, as these are many rows
+        rows[k] = rows[k][order]
+        new[1:] |= rows[k][1:] != rows[k][:-1]
+    del order
+    for k in range(len(rows)):
+        rows[k] = rows[k][new]
+    return rows
 
 
 def candidate_blocks(known: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -401,12 +420,17 @@ def candidate_blocks(known: DataFrame, percent: int, every: bool) -> DataFrame:
     names = ("signature", "node", "n", "part", "block", "size")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(cached=True)
         rest = [np.empty(0, dtype=np.int64)] * len(names)
         found: list[list[np.ndarray]] = []
 
         def distinct() -> list[np.ndarray]:
-            rows = _distinct([np.concatenate([f[k] for f in found]) for k in range(4)])
-            found[:] = [rows]
+            columns = [[f[k] for f in found] for k in range(4)]
+            found.clear()
+            for k in range(4):  # the parts of a column go as soon as they are one
+                columns[k] = np.concatenate(columns[k])
+            rows = _distinct(columns)
+            found.append(rows)
             return rows
 
         def batch() -> pa.RecordBatch:
@@ -437,10 +461,12 @@ def candidate_blocks(known: DataFrame, percent: int, every: bool) -> DataFrame:
                         size = 0
         if found:
             yield batch()
+        give_back()
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         whole = any(t.column("whole").to_pylist())
         a, b = (np.unique(np.concatenate([np.frombuffer(b"" if whole else x, dtype="<i8") for x in t.column(c).to_pylist()])) for c in ("a", "b"))
+        give_back(t.nbytes)
         return pa.table({"ba": pa.array([key[0].as_py()], pa.int64()), "bb": pa.array([key[1].as_py()], pa.int64()), "a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary()), "nodes": pa.array([np.union1d(a, b)], pa.list_(pa.int64())), "whole": pa.array([whole])})
 
     dealt = known.select(*names).repartition("signature").sortWithinPartitions("signature", "n")
@@ -482,7 +508,7 @@ def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     ends = np.cumsum((ca * cb)[at])
     k = 0
     while k < len(at):
-        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 2_000_000)))
+        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS_AT_ONCE)))
         own, k = at[k:end], end
         times = np.repeat(cb[own], ca[own])  # each row of the left meets so many of the right
         x = np.repeat(rows[0][_spread(fa[own], ca[own])], times)
@@ -559,6 +585,9 @@ def verified_blocks(blocks: DataFrame, placed: DataFrame, reps: DataFrame, docs:
             if ba == bb:
                 found = np.triu(found, 1)
             x, y = spanning(found, *(np.array([parts[node] for node in side], dtype=np.int64) for side in (a, b))) if connecting else np.nonzero(found)
+            del found
+        sets.clear()
+        give_back(given.nbytes)
         return pa.table({"a": pa.array(np.array(a, dtype=np.int64)[x]), "b": pa.array(np.array(b, dtype=np.int64)[y])})
 
     out = blocks.select("ba", "bb", "a", "b", "whole").groupBy("ba", "bb").cogroup(met.groupBy("ba", "bb")).applyInArrow(run, "a bigint, b bigint")
