@@ -193,7 +193,7 @@ def pages_by_domain(spark, d):
 def page_lookup(spark, d):
     pages = _t(spark, d, "pages")
     wanted = pages.select("url").unionByName(markup.link_edges(pages).select(F.col("dst").alias("url"))).distinct()
-    return search.page_exists(wanted, pages)
+    return search.page_exists(pages, wanted)
 
 
 @query("page_count", "SELECT count(*) AS pages FROM pages")
