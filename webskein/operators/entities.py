@@ -59,6 +59,6 @@ def social(hrefs: Column) -> Column:
 
 
 def social_links(pages: DataFrame, hrefs: str = "hrefs") -> DataFrame:
-    """url, pos, platform, link: each page's distinct absolute links to a platform."""
-    links = pages.select("url", F.posexplode(hrefs).alias("pos", "link")).withColumn("link", F.trim("link")).filter(F.col("link").rlike("^https?://"))
-    return links.withColumn("platform", platform(F.col("link"))).filter("platform is not null").groupBy("url", "link").agg(F.min("pos").alias("pos"), F.min_by("platform", "pos").alias("platform")).select("url", "pos", "platform", "link")
+    """url, pos, platform, link: each page's distinct absolute links to a platform; pages of one URL keep theirs apart."""
+    links = pages.withColumn("page", F.monotonically_increasing_id()).select("page", "url", F.posexplode(hrefs).alias("pos", "link")).withColumn("link", F.trim("link")).filter(F.col("link").rlike("^https?://"))
+    return links.withColumn("platform", platform(F.col("link"))).filter("platform is not null").groupBy("page", "url", "link").agg(F.min("pos").alias("pos"), F.min_by("platform", "pos").alias("platform")).select("url", "pos", "platform", "link")
