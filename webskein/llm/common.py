@@ -12,10 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpointed, shared_folder  # noqa: F401
+from ..session import checkpointed, shared_folder, sliced  # noqa: F401
 
 #: Bytes of text that the vectorised passes hold at once (a longer document is cut between words).
 CHUNK = 1 << 20
@@ -109,16 +108,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of rows with at most about `most` bytes of text in their column 'text', or of one row."""
-    for b in batches:
-        first = size = 0
-        sizes = pc.binary_length(b.column("text")).to_pylist()
-        for i, n in enumerate(sizes):
-            if i > first and size + (n or 0) > most:
-                yield b.slice(first, i - first)
-                first, size = i, 0
-            size += n or 0
-        if first < b.num_rows:
-            yield b.slice(first)
+    return sliced(batches, "text", most)
 
 
 def grouped(docs: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:

@@ -8,8 +8,11 @@ import re
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -73,6 +76,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows with at most about `most` bytes in a column of strings, or of one row: a batch has up to 10,000 rows of any length."""
+    for b in batches:
+        first = size = 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
+            if i > first and size + (n or 0) > most:
+                yield b.slice(first, i - first)
+                first, size = i, 0
+            size += n or 0
+        if first < b.num_rows:
+            yield b.slice(first)
+
+
 _shipped: set[str] = set()
 
 
