@@ -35,3 +35,27 @@ def test_sentences_are_rated_without_a_shuffle(spark, query):
     found = query(docs)
     assert exchanges(found) == 0
     assert found.select("doc_id").distinct().count() == 40
+
+
+def test_near_pairs_broadcast_no_keys(spark):
+    """By the plan's guess the table of keys is small, so it came to the driver to be broadcast."""
+    prints = spark.range(0, 3000, 1, 8).select(F.xxhash64("id").alias("fp"))
+    found = dedup.near_pairs(prints.unionByName(prints.select(F.col("fp").bitwiseXOR(F.lit(5)).alias("fp"))))
+    assert "Broadcast" not in planned(found)
+    assert found.filter("distance = 2").count() == 3000
+
+
+def test_a_large_table_is_dealt_out_by_value(spark, monkeypatch):
+    prints = spark.range(0, 500, 1, 4).select(F.xxhash64("id").alias("fp"))
+    prints = prints.unionByName(prints.select(F.col("fp").bitwiseXOR(F.lit(1 << 40 | 9)).alias("fp")))
+    want = sorted(map(tuple, dedup.near_pairs(prints).collect()))
+    monkeypatch.setattr(dedup, "PART", 100)
+    assert sorted(map(tuple, dedup.near_pairs(prints).collect())) == want and len(want) >= 500
+
+
+def test_many_pairs_of_one_block_are_compared_in_bounded_memory(monkeypatch):
+    prints = np.arange(700, dtype=np.uint64)
+    want = sum(1 for i in range(700) for j in range(i) if (i ^ j).bit_count() <= 3)
+    monkeypatch.setattr(dedup, "PAIRS_AT_ONCE", 100)
+    got = {tuple(sorted(p)) for x, y in dedup._met(prints, 1 << 63, 3) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert len(got) == want
