@@ -59,3 +59,10 @@ def test_many_pairs_of_one_block_are_compared_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(dedup, "PAIRS_AT_ONCE", 100)
     got = {tuple(sorted(p)) for x, y in dedup._met(prints, 1 << 63, 3) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert len(got) == want
+
+
+def test_languages_are_read_without_a_shuffle(spark):
+    docs = spark.range(0, 40, 1, 8).select(F.col("id").alias("doc_id"), F.lit("the quick brown fox runs over the hill").alias("text"), F.lit("en").alias("lang"))
+    found = language.detected(docs, language.profiles(docs))
+    assert exchanges(found) == 0
+    assert found.filter("language = 'en' and confidence = 1.0").count() == 40

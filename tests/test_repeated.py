@@ -36,3 +36,7 @@ def test_a_url_is_looked_up_once(spark, tables):
 
 def test_social_links_of_each_page(spark, tables):
     equal(spark, tables, "social_links")
+
+
+def test_languages_of_each_page(spark, tables):
+    equal(spark, tables, "page_languages")

@@ -380,8 +380,7 @@ def page_languages(spark, d):
     """Languages of all pages; two in three are made to declare none, so that theirs is detected."""
     pages, docs = _t(spark, d, "pages"), _t(spark, d, "documents")
     pages = pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.regexp_replace("html", "<html[^>]*>", "<html>")))
-    texts = pages.select("url", markup.clean_text(F.col("html")).alias("text"))
-    return language.page_languages(pages, texts, language.profiles(docs)).withColumn("confidence", F.round("confidence", 4))
+    return language.page_languages(pages, language.profiles(docs)).withColumn("confidence", F.round("confidence", 4))
 
 
 @query("document_languages", f"WITH {_detected_sql("SELECT doc_id AS key, coalesce(text, '') AS text FROM documents")} SELECT key AS doc_id, language, confidence, source FROM detected")
