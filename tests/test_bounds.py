@@ -29,6 +29,26 @@ def test_slices_are_bounded_and_whole():
     assert max(sum(map(len, filter(None, p.column("text").to_pylist()))) for p in parts) <= 60
 
 
+def test_a_batch_of_pages_is_read_in_slices(spark, monkeypatch):
+    """The trees of all pages of a batch would be held at once, and one batch come out."""
+    pages = spark.createDataFrame([(1, "https://a.example.com/", PAGE)], "page_id long, url string, html string")
+    runs = []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema: runs.append(f))
+    dom.extracted(pages, fields=("text",), keep=("page_id",))
+    b = pa.RecordBatch.from_pydict({"url": [None] * 3000, "html": [PAGE] * 3000, "page_id": list(range(3000))})
+    out = list(runs[0](iter([b])))
+    assert [i for x in out for i in x.column("page_id").to_pylist()] == list(range(3000))
+    assert len(out) > 1 and max(x.num_rows for x in out) * len(PAGE) <= dom.AT_ONCE
+
+
+def test_only_the_named_parts_of_a_page_are_made():
+    whole = dom.page_parts(PAGE, "https://a.example.com/")
+    assert set(whole) >= set(dom._FIELDS)
+    for name in dom._FIELDS:
+        some = dom.page_parts(PAGE, "https://a.example.com/", fields=(name,))
+        assert some[name] == whole[name] and len(some) < len(whole)
+
+
 @pytest.mark.parametrize("query", [text.sentence_scores, text.summaries, lambda d: text.html_summaries(d.withColumn("paragraphs", F.split("text", "\n")), key="doc_id")])
 def test_sentences_are_rated_without_a_shuffle(spark, query):
     docs = spark.range(0, 40, 1, 8).select(F.col("id").alias("doc_id"), F.lit("One two three four five six. " * 4 + "The end of all the words that were said!").alias("text"))
@@ -37,6 +57,13 @@ def test_sentences_are_rated_without_a_shuffle(spark, query):
     assert found.select("doc_id").distinct().count() == 40
 
 
+def test_languages_are_read_without_a_shuffle(spark):
+    docs = spark.range(0, 40, 1, 8).select(F.col("id").alias("doc_id"), F.lit("the quick brown fox runs over the hill").alias("text"), F.lit("en").alias("lang"))
+    found = language.detected(docs, language.profiles(docs))
+    assert exchanges(found) == 0
+    assert found.filter("language = 'en' and confidence = 1.0").count() == 40
+
+
 def test_near_pairs_broadcast_no_keys(spark):
     """By the plan's guess the table of keys is small, so it came to the driver to be broadcast."""
     prints = spark.range(0, 3000, 1, 8).select(F.xxhash64("id").alias("fp"))
@@ -59,10 +86,3 @@ def test_many_pairs_of_one_block_are_compared_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(dedup, "PAIRS_AT_ONCE", 100)
     got = {tuple(sorted(p)) for x, y in dedup._met(prints, 1 << 63, 3) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert len(got) == want
-
-
-def test_languages_are_read_without_a_shuffle(spark):
-    docs = spark.range(0, 40, 1, 8).select(F.col("id").alias("doc_id"), F.lit("the quick brown fox runs over the hill").alias("text"), F.lit("en").alias("lang"))
-    found = language.detected(docs, language.profiles(docs))
-    assert exchanges(found) == 0
-    assert found.filter("language = 'en' and confidence = 1.0").count() == 40
